@@ -54,7 +54,7 @@ class PieceTokenizer:
     TWO_BYTE_LEAD = np.zeros(256, bool)
     TWO_BYTE_LEAD[0xC3:0xE0] = True
 
-    def __init__(self, path: str, max_pieces: int = 3_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,7 +90,7 @@ class PieceTokenizer:
         while self.used + len(h) > self.size // 2:
             full = self.keys != 0
             old = self.keys[full], self.at[full], self.n[full]
-            self.size *= 4
+            self.size *= 2
             self.keys, self.at, self.n, self.used = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64), np.zeros(self.size, np.int32), 0
             self._place(*old)
         self._place(h, at, n)
