@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .fingerprints import op8_fingerprints
 from .mixing import op6_mixing
 from .near_dedup import op5_near_dedup
+from .quality import op1_quality
 from .token_output import op9_token_output
 from .warc import OP3_SQL, op3_warc
 
-QUERIES = {"op3_warc": op3_warc, "op5_near_dedup": op5_near_dedup, "op6_mixing": op6_mixing, "op8_fingerprints": op8_fingerprints, "op9_token_output": op9_token_output}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_warc": op3_warc,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_token_output": op9_token_output,
+}
 ORACLE_SQL = {"op3_warc": OP3_SQL}
