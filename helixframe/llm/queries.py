@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
+from .exact_substrings import op10_exact_substrings
 from .fingerprints import op8_fingerprints
+from .language_model import op4_language_model
+from .line_dedup import op2_line_dedup
 from .mixing import op6_mixing
 from .near_dedup import op5_near_dedup
 from .quality import op1_quality
@@ -12,11 +15,14 @@ from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_language_model": op4_language_model,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_fingerprints": op8_fingerprints,
     "op9_token_output": op9_token_output,
+    "op10_exact_substrings": op10_exact_substrings,
 }
 ORACLE_SQL = {"op3_warc": OP3_SQL}
