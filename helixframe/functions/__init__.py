@@ -1 +1 @@
-
+"""Column functions: everything here is a Catalyst expression."""
