@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis_queries, interval_queries, record_queries, scoring, sequence_queries
+from .plans import analysis_queries, interval_queries, record_queries, scoring, sequence_queries, simulation
 
-_MODULES = (scoring, interval_queries, sequence_queries, record_queries, analysis_queries)
+_MODULES = (scoring, interval_queries, sequence_queries, record_queries, analysis_queries, simulation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

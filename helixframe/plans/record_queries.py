@@ -190,11 +190,11 @@ def scale_coverage(t):
 
 @query("""SELECT concat_ws(chr(9), l_returnflag, l_orderkey + 1, '.', 'A', 'C', 37, 'PASS', CASE WHEN l_tax > 0.04 THEN 'ORIGIN=denovo' ELSE 'ORIGIN=input' END, 'GT:AD:DP:AF',
 '0/1:' || l_linenumber || ',' || l_suppkey || ':' || (l_linenumber + l_suppkey) || ':' || printf('%.4f', l_suppkey / (l_linenumber + l_suppkey)::DOUBLE)) AS line
-FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_suppkey) AS k FROM lineitem) WHERE k = 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_suppkey, l_tax, l_extendedprice) AS k FROM lineitem) WHERE k = 1""")
 def vcf_lines(t):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_tax", "l_extendedprice")
     x = t.lineitem.withColumn("k", F.row_number().over(w)).where("k = 1")
     v = x.select(F.col("l_returnflag").alias("contig"), F.col("l_orderkey").alias("location"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.lit("0/1").alias("gt"), F.when(F.col("l_tax") > 0.04, "denovo").otherwise("input").alias("provenance"), F.col("l_linenumber").alias("ref_count"), F.col("l_suppkey").alias("alt_count"))
     return v.select(vcf.truth_line().alias("line"))
