@@ -32,10 +32,11 @@ from . import _shared, _text
 from .components import connected_components
 
 U64 = np.uint64
-SAMPLES, ROWS, BITS = 128, 4, 512
+SAMPLES, ROWS, BANDS, BITS = 256, 4, 32, 1024
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
-SEED_XOR = _rng.integers(0, 2**63, 512, dtype=np.uint64)
-SEED_MUL = _rng.integers(0, 2**62, 512, dtype=np.uint64) * U64(2) + U64(1)
+SEED_XOR = _rng.integers(0, 2**63, 4096, dtype=np.uint64)
+SEED_MUL = _rng.integers(0, 2**62, 4096, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def sketch_distance(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
@@ -61,7 +62,7 @@ def odd_sketch(mins: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(flip, axis=1)
 
 
-def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
+def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), bands, sketch."""
 
     def run(it):
@@ -70,20 +71,20 @@ def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = RO
             vals, _, at = _text.shingles(h, ptr, n)
             size = np.diff(at)
             has = np.flatnonzero(size)
-            sketches, bands, keys = [None] * len(size), [None] * len(size), [None] * len(size)
+            sketches, band_keys, keys = [None] * len(size), [None] * len(size), [None] * len(size)
             if len(has):
                 starts = at[:-1][has]
                 mins = minhashes(vals, starts, samples)
                 sk = odd_sketch(mins)
-                banded = np.zeros((samples // rows, len(has)), np.uint64)
-                for i in range(samples // rows):
+                banded = np.zeros((bands, len(has)), np.uint64)
+                for i in range(bands):
                     banded[i] = _text.mix(_text.combine(np.ascontiguousarray(mins[i * rows : (i + 1) * rows].T).reshape(-1), rows)[::rows] + U64(i))
                 key = np.stack([np.add.reduceat(_text.mix(vals), starts), np.bitwise_xor.reduceat(vals, starts), size[has].astype(np.uint64)], axis=1)
                 banded = banded.T.astype(np.int64, casting="unsafe")
                 for j, d in enumerate(has.tolist()):
-                    sketches[d], bands[d], keys[d] = sk[j].tobytes(), banded[j], key[j].tobytes()
+                    sketches[d], band_keys[d], keys[d] = sk[j].tobytes(), banded[j], key[j].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
@@ -103,6 +104,21 @@ def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles binary")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """id, fine: a larger sketch, for the documents whose pairs are many and near the threshold."""
+
+    def run(it):
+        for b in it:
+            ids, out = b.column(0), []
+            for i in range(0, b.num_rows, 256):
+                raw, offs = _text.buffers(b.column(1).slice(i, 256))
+                vals = np.ascontiguousarray(raw).view(np.uint64)
+                out += [x.tobytes() for x in odd_sketch(minhashes(vals, offs[:-1] // 8, FINE_SAMPLES), FINE_BITS)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["id", "fine"])
+
+    return sets.mapInArrow(run, "id long, fine binary")
+
+
 def _sketches_allow(pairs: DataFrame, most: int) -> DataFrame:
     """Keeps pairs (a, b, sa, sb) whose sketches differ in at most ``most`` bits."""
 
@@ -119,11 +135,8 @@ def _sketches_allow(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b), by their full shingle sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _shared.store(shingle_sets(texts, n), "shingles")
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(it):
@@ -145,29 +158,41 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFra
     return _shared.store(joined.mapInArrow(run, "a long, b long"), "links")
 
 
-def _cross_pairs(members: DataFrame, most: int, block: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, most: int, block: int, nearest: int = 0, most_fine: int = 0) -> DataFrame:
     """Candidate pairs of different components in one bucket, by sketch (key, id, component, sketch).
 
-    A bucket is cut into blocks of about ``block`` members and each pair of
+    All of them that a fine sketch (column fine) allows too, or the ``nearest`` few of each member outside the largest
+    component.  A bucket is cut into blocks of about ``block`` members and each pair of
     blocks is a group of its own: no task holds more than two blocks.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "sketch")
+    placed = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "sketch", *([] if nearest else ["fine"]))
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, i = (t.column(c).to_numpy() for c in ("id", "component", "i"))
         sk, _ = _text.buffers(t.column("sketch"))
         sk = np.ascontiguousarray(sk).view(np.uint64).reshape(len(ids), -1)
+        if not nearest:
+            fine, _ = _text.buffers(t.column("fine"))
+            fine = np.ascontiguousarray(fine).view(np.uint64).reshape(len(ids), -1)
         one_block = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        left = np.arange(len(ids)) if one_block else np.flatnonzero(i == i.min())
-        right = left if one_block else np.flatnonzero(i != i.min())
+        side = np.zeros(len(ids), bool) if one_block else i == i.min()
+        kinds, inv, count = np.unique(comp, return_inverse=True, return_counts=True)
+        small = np.flatnonzero(inv != count.argmax())
         a, b = [], []
-        for x in left.tolist():
-            other = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if one_block else True)]
+        for x in small.tolist():
+            # both members outside the largest component: once
+            other = np.flatnonzero((inv != inv[x]) & ((inv == count.argmax()) | (ids > ids[x]) | (nearest > 0)) & (one_block | (side != side[x])))
             if len(other):
-                near = other[np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1, dtype=np.int64) <= most]
+                d = np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1, dtype=np.int64)
+                if nearest and len(d) > nearest:
+                    best = np.argpartition(d, nearest)[:nearest]
+                    other, d = other[best], d[best]
+                near = other[d <= most]
+                if not nearest and len(near):
+                    near = near[np.bitwise_count(fine[near] ^ fine[x]).sum(axis=1, dtype=np.int64) <= most_fine]
                 a.append(np.full(len(near), ids[x]))
                 b.append(ids[near])
         a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -176,7 +201,7 @@ def _cross_pairs(members: DataFrame, most: int, block: int) -> DataFrame:
     return placed.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: float = 0.2, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: float = 0.14, fine_margin: float = 0.05, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of ``docs``."""
     most = sketch_distance(percent / 100 - margin)
     found = _shared.store(features(docs, n), "near-features")
@@ -184,6 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: floa
     reps = _shared.store(reps, "near-sets")
     one = found.where("set_key is not null").join(reps.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("_k")), "doc_id").where("set_key = _k").dropDuplicates(["doc_id", "set_key"])
     one = one.select(F.col("doc_id").alias("id"), "bands", "sketch")
+    repeated_ids = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     banded = one.select("id", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -193,20 +219,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: floa
     def with_sketches(pairs):
         return pairs.join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").select("a", "b", "sa", "sb")
 
+    nodes = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: never broadcast
+    sets = _shared.store(shingle_sets(texts, n).dropDuplicates(["doc_id"]) if repeated_ids else shingle_sets(texts, n), "near-shingles")
+
     stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = _shared.store(_sketches_allow(with_sketches(stars), most), "near-candidates")
-    links = _confirm(first, docs, percent, n)
+    tested = _shared.store(_sketches_allow(with_sketches(stars), most), "near-candidates")
+    links = _confirm(tested, sets, percent)
     comps = _shared.store(connected_components(links), "near-components")
-
-    # buckets that still hold several components
-    now = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = now.join(split, "key").join(sk, "id").select("key", "id", "component", "sketch")
-    more = _shared.store(_cross_pairs(rest, most, block).join(first, ["a", "b"], "left_anti"), "near-candidates")
-    if not more.isEmpty():
-        # components so far stand for their links
-        links = _confirm(more, docs, percent, n).unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        comps = _shared.store(connected_components(links), "near-components")
+    for nearest in (2, 0):
+        # buckets that still hold several components
+        now = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        rest = now.join(split, "key").join(sk, "id").select("key", "id", "component", "sketch")
+        if not nearest:
+            rest = _shared.store(rest, "near-rest")
+            fine = fine_sketches(sets.withColumnRenamed("doc_id", "id").join(rest.select("id").distinct(), "id", "left_semi"))
+            rest = rest.join(_shared.store(fine, "near-fine"), "id")
+        pairs = _cross_pairs(rest, most, block, nearest, sketch_distance(percent / 100 - fine_margin, FINE_SAMPLES, FINE_BITS))
+        more = _shared.store(pairs.join(tested, ["a", "b"], "left_anti"), "near-candidates")
+        links = _confirm(more, sets, percent)
+        if not links.isEmpty():
+            # components so far stand for their links
+            comps = _shared.store(connected_components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))), "near-components")
+        tested = tested.unionByName(more)
 
     per_set = reps.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_key").join(per_set, "set_key", "left")
