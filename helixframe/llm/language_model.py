@@ -1,8 +1,9 @@
 """Language-model scores by deleted interpolation.
 
 Maximum-likelihood estimates of all orders up to ``order`` and a uniform one
-are mixed by weights that depend on how often the context was seen (one bucket
-for each power of two).  The weights come from expectation-maximisation on
+are mixed by weights that depend on the longest context that was seen and how
+often it was (one bucket for each length and power of two); estimates from
+longer contexts have no weight there.  The weights come from expectation-maximisation on
 counts held out of training: a fold of the training documents is deleted from
 the counts, its events are binned by bucket and (quarter-octave) estimates, and
 the bins' sums, whose number is bounded, are what the iterations run on.  Final
@@ -65,11 +66,15 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarr
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out], np.concatenate([[0], np.cumsum(n)])
 
 
+#: Buckets of one context length.
+SPAN = 65
+
+
 def em(cells: np.ndarray, n: np.ndarray, p: np.ndarray, seen: np.ndarray, rounds: int = 60, prior: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights per bucket (rows) of the estimates (columns of p), and the pooled ones.
 
     cells: bucket of each event class; n: its count.  Pooled weights act as
-    ``prior`` events of each bucket.
+    ``prior`` events of each bucket.  Rows SPAN * c and up are those of contexts of c words.
     """
     k = p.shape[1]
 
@@ -83,11 +88,13 @@ def em(cells: np.ndarray, n: np.ndarray, p: np.ndarray, seen: np.ndarray, rounds
 
     pooled = run(np.full(k, 1 / k), np.arange(len(n)), np.full(k, 1e-3)) if len(n) else np.array([0.05, *[0.95 / (k - 1)] * (k - 1)])
     pooled = np.maximum(pooled, 1e-6)
-    out = np.tile(pooled / pooled.sum(), (65, 1))
+    out = np.tile(pooled / pooled.sum(), (SPAN * (k - 1), 1))
+    for c in range(k - 1):
+        out[SPAN * c : SPAN * (c + 1), c + 2 :] = 0  # longer contexts were never seen
+    out /= out.sum(axis=1, keepdims=True)
     for b in seen.tolist():
         out[b] = run(out[b], np.flatnonzero(cells == b), prior * out[b])
-    out = np.maximum(out, 1e-7)
-    out[0, 2:] = 0  # the context was never seen
+    out = np.where(out > 0, np.maximum(out, 1e-7), 0)
     return out / out.sum(axis=1, keepdims=True), pooled
 
 
@@ -96,7 +103,7 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def score_documents(docs: DataFrame, order: int = 2, folds: int = 10, pack_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     packs = _packs.make(docs, pack_bytes)
     n_buckets = _packs.n_buckets(packs)
@@ -153,15 +160,16 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 10, pack_bytes
         return ids, null, ptr, split(all_), split(deleted)
 
     def estimates(counts, ptr, n_tokens, n_docs):
-        """(bucket of the longest context, maximum-likelihood estimates of orders 1, 2, ...)."""
+        """(row of the longest context that was seen, maximum-likelihood estimates of orders 1, 2, ...)."""
         first = ptr[:-1]
         ml = [counts[0] / max(n_tokens, 1)]
-        context = counts[0]
+        row = np.zeros(len(counts[0]), np.int64)
         for k in range(1, order):
             context = np.concatenate([[0], counts[k - 1][:-1]]) if len(counts[0]) else counts[0]
             context[first] = n_docs
             ml.append(np.where(context > 0, counts[k] / np.maximum(context, 1), 0.0))
-        return bucket(context), ml
+            row = np.where(context > 0, SPAN * k + bucket(context), row)
+        return row, ml
 
     def events(pack, rows):
         ids, null, ptr, all_, deleted = counted(rows)
@@ -176,16 +184,16 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 10, pack_bytes
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
 
     asked = packs.unionByName(replies.where("kind = 1"))
-    # at most 64 buckets times the estimates' quarter octaves, however large the corpus
-    binned = _packs.by_dest(asked, events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
-    code, n = np.array([r["cell"] for r in binned], np.int64), np.array([r["n"] for r in binned], float)
+    # at most SPAN * order rows times the estimates' quarter octaves, however large the corpus
+    binned = _packs.by_dest(asked, events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    code, n = binned.column("cell").to_numpy(), binned.column("n").to_numpy().astype(float)
     q = np.stack([(code >> (15 * (order - 1 - k)) & 0x7FFF) - (1 << 14) for k in range(order)], axis=1) if len(code) else np.zeros((0, order), np.int64)
     uniform = 1 / (v + 1)
     p = np.concatenate([np.full((len(code), 1), uniform), np.where(q == NONE, 0.0, 2.0 ** (q / 4))], axis=1)
     cells = code >> (15 * order)
     weights, _ = em(cells, n, p, np.unique(cells))
     if not n_all:
-        weights = np.tile(np.eye(1, order + 1), (65, 1))
+        weights = np.tile(np.eye(1, order + 1), (SPAN * order, 1))
 
     def finish(pack, rows):
         ids, null, ptr, all_, _ = counted(rows)

@@ -175,6 +175,23 @@ def test_language_model_beats_base_on_held_out(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_language_model_uses_two_word_contexts(spark):
+    # "b" is followed by "c" after "a" and by "e" after "d": one word of context cannot tell
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "d b e") for i in range(200)] + [(200 + i, x) for i, x in enumerate(["a b c", "a b e"] * 30)], "doc_id long, text string")
+    got = [r for r in language_model.score_documents(docs).collect() if r["held_out"]]
+    texts = dict(docs.collect())
+    right, wrong = ([r["score"] for r in got if texts[r["doc_id"]] == x] for x in ("a b c", "a b e"))
+    assert min(right) > max(wrong) + 0.5
+
+
+def test_language_model_keeps_bigram_where_two_words_are_unseen():
+    p = np.array([[0.01, 0.1, 0.9, 0.0], [0.01, 0.1, 0.0, 0.0]])
+    cells = np.array([language_model.SPAN + 3, 0])
+    w, _ = language_model.em(cells, np.array([100.0, 10.0]), p, np.unique(cells))
+    assert w[language_model.SPAN + 3, 2] > 0.5 and w[language_model.SPAN + 3, 3] == 0
+    assert (w[0, 2:] == 0).all() and np.allclose(w.sum(axis=1), 1)
+
+
 # ------------------------------------------------------------ near duplicates
 
 
