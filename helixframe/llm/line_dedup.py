@@ -5,6 +5,10 @@ has as near duplicates the lines within one word edit (insertion, deletion or
 substitution); a shorter line only its equals.  A line is dropped if an earlier
 one, by (doc_id, line number), is its equal or near duplicate; blank lines stay.
 
+Lines with an earlier one within the bound of ``similar_lines.edit_bound``, which
+grows with their length and has one edit for lines of 5 words or more, are listed
+besides as similar, unless they are dropped anyway.
+
 Equal lines collapse first.  Two lines within one edit share the first or the
 last half of their words, so lines that share no half with another are done.
 The rest emit, for each word of the other half, the hash of the line without it
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, _text
+from . import _shared, _text, similar_lines
 
 U64 = np.uint64
 LINE = np.ones(256, bool)
@@ -79,7 +83,7 @@ def lines(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "doc long, line long, n long, lh long, halves array<long>")
 
 
-def variants(texts: DataFrame) -> DataFrame:
+def variants(texts: DataFrame, min_words: int = 8) -> DataFrame:
     """(vh, kind, lh, ord) of candidate lines: kind 0 the line, 1 without a word, 2 without the word at a place."""
 
     def run(it):
@@ -94,7 +98,7 @@ def variants(texts: DataFrame) -> DataFrame:
                 n = np.diff(ptr)
                 row = np.repeat(np.arange(y - x), n)
                 place = np.arange(len(wh)) - ptr[:-1][row]
-                use = np.where(place >= n[row] // 2, tail[row], head[row])
+                use = np.where(place >= n[row] // 2, tail[row], head[row]) & (n[row] >= similar_lines.SHORT)
                 at, row, place = np.flatnonzero(use), row[use], place[use]
                 i, j = ptr[:-1][row], ptr[1:][row]
                 # words before the place, and those after it moved one place left
@@ -109,9 +113,11 @@ def variants(texts: DataFrame) -> DataFrame:
                 rows = np.concatenate([full, row[first], row])
                 kind = np.concatenate([np.zeros(len(full)), np.ones(int(first.sum())), np.full(len(sub), 2)])
                 keep = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(vh), pa.array(kind.astype(np.int32)), *[part.column(part.schema.get_field_index(k)).take(keep) for k in ("lh", "doc", "line")]], names=["vh", "kind", "lh", "doc", "line"])
+                # both lines of a pair have min_words: the other of kind 1 is a word shorter
+                strict = (n[rows] - (kind == 1)) >= min_words
+                yield pa.RecordBatch.from_arrays([pa.array(vh), pa.array(kind.astype(np.int32)), *[part.column(part.schema.get_field_index(k)).take(keep) for k in ("lh", "doc", "line")], pa.array(strict)], names=["vh", "kind", "lh", "doc", "line", "strict"])
 
-    return texts.mapInArrow(run, "vh long, kind int, lh long, doc long, line long")
+    return texts.mapInArrow(run, "vh long, kind int, lh long, doc long, line long, strict boolean")
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -126,20 +132,20 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(all lines: doc, line, lh; distinct lines that are dropped or first: lh, doc, line, near)."""
+    """(all lines: doc, line, lh; distinct lines that are dropped or first: lh, doc, line, near, similar)."""
     every = _shared.store(lines(docs), "lines")
     order = F.struct("doc", "line")
     distinct = every.groupBy("lh").agg(F.min(order).alias("ord"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     distinct = _shared.store(distinct.select("lh", F.col("ord.doc").alias("doc"), F.col("ord.line").alias("line"), "n", "halves"), "lines-distinct")
 
     # a half that two lines share; its side tells where the edit must be
-    h = distinct.where(F.col("n") >= min_words - 1)
+    h = distinct.where(F.col("n") >= similar_lines.SHORT - 1)
     half = h.select("lh", F.posexplode(F.array(*[F.get("halves", F.lit(k)) for k in range(4)])).alias("k", "key")).select("lh", "key", (F.col("k") < 2).alias("tail")).distinct()
     shared = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     cand = half.join(shared, "key").groupBy("lh").agg(F.max("tail").alias("in_tail"), F.max(~F.col("tail")).alias("in_head"))
-    cand = cand.join(distinct.select("lh", "doc", "line", "n"), "lh").where(F.col("n") >= min_words)
+    cand = cand.join(distinct.select("lh", "doc", "line"), "lh")
     texts = _shared.store(_words_of(docs, cand), "line-words")
-    v = _shared.store(variants(texts), "line-variants")
+    v = _shared.store(variants(texts, min_words), "line-variants")
     mins = v.groupBy("vh").agg(
         F.count("*").alias("c"),
         *[F.min(F.when(F.col("kind") == k, F.struct("doc", "line", "lh"))).alias(f"m{k}") for k in range(3)],
@@ -148,15 +154,18 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, Dat
     # a full line is one word short of a deleted one, and the reverse; equal places are substitutions
     other = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
     near = both.withColumn("o", other).where((F.struct("o.doc", "o.line") < F.struct("doc", "line")) & (F.col("o.lh") != F.col("lh")))
-    near = near.groupBy("lh").agg(F.min("o").alias("o")).select("lh", F.col("o.lh").alias("by"))
-    checked = near.join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b")
+    near = near.groupBy("lh").agg(F.min("o").alias("o"), F.max("strict").alias("near")).select("lh", F.col("o.lh").alias("by"), "near")
+    checked = near.join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b", "near")
 
     def verify(it):
         for b in it:
             ok = pa.array([within_one_edit(x.as_py().split(), y.as_py().split()) for x, y in zip(b.column(1), b.column(2), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok)], names=["lh"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(3).filter(ok)], names=["lh", "near"])
 
-    return every.select("doc", "line", "lh"), distinct.select("lh", "doc", "line").join(checked.mapInArrow(verify, "lh long").withColumn("near", F.lit(True)), "lh", "left")
+    one = _shared.store(checked.mapInArrow(verify, "lh long, near boolean"), "line-near")
+    more = similar_lines.similar_lines(docs, distinct, one).select("lh", F.lit(False).alias("near"))
+    found = one.unionByName(more).withColumn("similar", ~F.col("near"))
+    return every.select("doc", "line", "lh"), distinct.select("lh", "doc", "line").join(found, "lh", "left")
 
 
 def _words_of(docs: DataFrame, cand: DataFrame) -> DataFrame:
@@ -182,18 +191,20 @@ def _words_of(docs: DataFrame, cand: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those dropped as equals and as near duplicates, and their numbers."""
+    """Per document: its lines, those dropped as equals and as near duplicates, those similar besides, and their numbers."""
     docs = _shared.read(spark, sf_dir, "documents")
     every, firsts = duplicate_lines(docs)
-    rows = every.join(firsts.select("lh", F.col("doc").alias("d0"), F.col("line").alias("l0"), F.coalesce("near", F.lit(False)).alias("near")), "lh")
+    rows = every.join(firsts.select("lh", F.col("doc").alias("d0"), F.col("line").alias("l0"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("near", "similar")]), "lh")
     is_first = F.col("doc").eqNullSafe(F.col("d0")) & (F.col("line") == F.col("l0"))
-    rows = rows.withColumn("kind", F.when(~is_first, 1).when(F.col("near"), 2).otherwise(0))
+    rows = rows.withColumn("kind", F.when(~is_first, 1).when(F.col("near"), 2).when(F.col("similar"), 3).otherwise(0))
     per = rows.groupBy(F.col("doc").alias("doc_id")).agg(
         F.count("*").alias("n_lines"),
         F.sum((F.col("kind") == 1).cast("long")).alias("n_equal"),
         F.sum((F.col("kind") == 2).cast("long")).alias("n_near"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") > 0, F.col("line")))), ",").alias("dropped"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind").isin(1, 2), F.col("line")))), ",").alias("dropped"),
+        F.sum((F.col("kind") == 3).cast("long")).alias("n_similar"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == 3, F.col("line")))), ",").alias("similar"),
     )
     out = docs.select(F.col("doc_id").cast("long").alias("_id")).join(per, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("_id").alias("doc_id"), zero("n_lines"), zero("n_equal"), zero("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+    return out.select(F.col("_id").alias("doc_id"), zero("n_lines"), zero("n_equal"), zero("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"), zero("n_similar"), F.coalesce("similar", F.lit("")).alias("similar"))

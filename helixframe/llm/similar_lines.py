@@ -1,0 +1,198 @@
+"""Lines within an edit bound that grows with their length.
+
+Of two lines the longer sets the bound: none below 5 words, one word edit up to
+19 words, a tenth of the words from there.  ``line_dedup`` settles the bound of
+one edit by deletion variants; this is the rest, two edits and more.
+
+An edit destroys at most three of a line's word triples, so of lines within k
+edits the 3k + 1 triples that come first in an order common to all lines have
+one in common (a triple that repeats in a line is told apart by its number).
+Packs of documents ask which of these keys another line has too; lines with such
+a key meet there, and pairs whose lengths, places or parities of words rule k
+edits out are left.  A line first tries the earliest line of each of its keys;
+only lines that this does not settle are compared with all that share a key.
+Nothing is dropped, capped or sampled: what remains is decided on the words.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _packs, _shared, _text
+
+U64 = np.uint64
+#: Fewest words of a line within one edit of another, and of the longer line of a pair two edits or more apart.
+SHORT, LONG = 5, 20
+
+
+def edit_bound(n: int) -> int:
+    """Word edits allowed between two lines of which the longer has n words."""
+    return 0 if n < SHORT else max(1, n // 10)
+
+
+def within_edits(a: list[bytes], b: list[bytes], k: int) -> bool:
+    """Whether k word edits turn a into b: furthest places on each diagonal, edit by edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
+        return False
+    ca, cb = Counter(a), Counter(b)
+    if max((ca - cb).total(), (cb - ca).total()) > k:
+        return False
+
+    def slide(i, d):
+        while i < n and i + d < m and a[i] == b[i + d]:
+            i += 1
+        return i
+
+    far = {0: slide(0, 0)}
+    for e in range(k + 1):
+        if far.get(m - n, -1) >= n:
+            return True
+        step = {}
+        for d in range(max(-e - 1, -n), min(e + 1, m) + 1):
+            # a substitution, a word of b more, a word of a more
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            if i >= 0:
+                i = min(i, n, m - d)
+                step[d] = slide(i, d)
+        far = step
+    return False
+
+
+def line_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the first triples of each line, in the common order."""
+    n = last - first
+    size = np.maximum(n - 2, 0)
+    row = np.repeat(np.arange(len(n)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    h = _text.combine(wh, 3)[first[row] + place]
+    by = np.lexsort((place, h, row))
+    row, place, h = row[by], place[by], h[by]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+    at = np.arange(len(row))
+    number = at - np.maximum.accumulate(np.where(new, at, 0)) if len(row) else at
+    # 48 bits: two triples that agree in them count as one, which only adds candidates
+    key = _text.mix(h + number.astype(np.uint64) * U64(0xD6E8FEB86659FD93)) >> U64(16)
+    by = np.lexsort((key, row))
+    row, place, key = row[by], place[by], key[by]
+    start = np.cumsum(size) - size
+    # a line of n words can be the shorter of a pair within n // 9 edits
+    keep = np.arange(len(row)) - start[row] < 3 * (n[row] // 9) + 1
+    return row[keep], place[keep], key[keep]
+
+
+def _pack_lines(data: np.ndarray, offs: np.ndarray):
+    """Distinct long lines of a pack: (lh, start, end, words, parities, line of each key, its place, key)."""
+    from .line_dedup import _finish, _prefix_sums, _sequence_hash, split_lines
+
+    _, _, s, e, i, j, wh = split_lines(data, offs)
+    long = np.flatnonzero(j - i >= LONG - LONG // 10)
+    s, e, i, j = s[long], e[long], i[long], j[long]
+    lh = _finish(_sequence_hash(_prefix_sums(wh), i, j), j - i, 0)
+    lh, one = np.unique(lh, return_index=True)
+    s, e, i, j = s[one], e[one], i[one], j[one]
+    bit = wh & U64(127)
+    halves = [np.where((bit >> U64(6)) == side, U64(1) << (bit & U64(63)), U64(0)) for side in (0, 1)]
+    xor = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(x)]) if len(x) else np.zeros(1, np.uint64) for x in halves]
+    parity = [(x[j] ^ x[i]).view(np.int64) for x in xor]
+    return lh, s, e, j - i, parity, *line_keys(wh, i, j)
+
+
+SCHEMA = "lh long, n long, p0 long, p1 long, keys array<long>, places array<long>, words binary"
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Lines (SCHEMA) with a key that is not theirs alone, perhaps several times."""
+    packs = _packs.make(docs, 4 << 20)
+    n_buckets = _packs.n_buckets(packs)
+    edges = np.array([(k * 2**48) // n_buckets for k in range(n_buckets)], np.uint64)
+
+    def distinct(key):
+        keys, inv, count = np.unique(key, return_inverse=True, return_counts=True)
+        return keys, inv, count > 1, np.append(np.searchsorted(keys, edges), len(keys))
+
+    def ask(it):
+        for pack, _, _, offs, data in _packs.opened(it):
+            keys, _, many, cut = distinct(_pack_lines(data, offs)[-1])
+            yield _packs.batch([(b, pack, 1, _packs.squeeze(np.packbits(many[i:j]), *_packs.planes(keys[i:j]))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
+
+    def answer(b, rows):
+        parts = [_packs.expand(body) for _, _, body in rows]
+        keys = [_packs.unplanes(p[1:]) for p in parts]
+        all_, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        held = np.bincount(inv, np.concatenate([1 + np.unpackbits(p[0], count=len(k)) for p, k in zip(parts, keys, strict=True)])) > 1
+        at = np.cumsum([0, *map(len, keys)])
+        yield _packs.batch([(src, b, 1, _packs.squeeze(np.packbits(held[inv[at[k] : at[k + 1]]]))) for k, (src, _, _) in enumerate(rows)])
+
+    replies = _packs.by_dest(packs.mapInArrow(ask, _packs.SCHEMA), answer)
+
+    def finish(pack, rows):
+        if rows[0][1] != 0:
+            return
+        _, _, offs, data = _packs.expand(rows[0][2])
+        lh, s, e, n, parity, row, place, key = _pack_lines(data, offs)
+        keys, inv, _, cut = distinct(key)
+        held = np.zeros(len(keys), bool)
+        for src, _, body in rows[1:]:
+            held[cut[src] : cut[src + 1]] = np.unpackbits(_packs.expand(body)[0], count=cut[src + 1] - cut[src]).astype(bool)
+        use = held[inv]
+        row, place, key = row[use], place[use], key[use].astype(np.int64)
+        lines, at = np.unique(row, return_index=True)
+        ends = np.append(at, len(row)).astype(np.int32)
+        raw = data.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lh[lines]), pa.array(n[lines], pa.int64()), *[pa.array(p[lines]) for p in parity], *[pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64())) for x in (key, place)], pa.array([b" ".join(raw[s[k] : e[k]].split()) for k in lines.tolist()], pa.binary())],
+            names=[x.strip().split(" ")[0] for x in SCHEMA.split(",")],
+        )
+
+    return _packs.by_dest(packs.unionByName(replies), finish, SCHEMA)
+
+
+def similar_lines(docs: DataFrame, distinct: DataFrame, settled: DataFrame) -> DataFrame:
+    """lh of the lines that have an earlier one within the bound, those in ``settled`` aside.
+
+    distinct: lh, doc, line of the first of equal lines.
+    """
+    ends = distinct.select("lh", "doc", "line")
+    cand = candidates(docs).dropDuplicates(["lh"]).join(ends, "lh").join(settled.select("lh", F.lit(True).alias("done")), "lh", "left")
+    cand = _shared.store(cand.withColumn("done", F.coalesce("done", F.lit(False))), "similar-lines")
+    texts = cand.select("lh", "words")
+    keys = cand.select(F.struct("doc", "line", "lh", "n", "p0", "p1").alias("l"), "done", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keys = keys.select("l", "done", F.col("k.keys").alias("key"), F.col("k.places").cast("long").alias("place"))
+
+    def possible(a, b):
+        """Whether b is earlier than a and lengths, places and parities allow the bound."""
+        bound = F.floor(F.greatest(F.col(f"{a}l.n"), F.col(f"{b}l.n")) / 10)
+        off = F.col(f"{a}place") - F.col(f"{b}place")
+        more = F.col(f"{a}l.n") - F.col(f"{b}l.n")
+        odd = sum(F.bit_count(F.col(f"{a}l.{p}").bitwiseXOR(F.col(f"{b}l.{p}"))) for p in ("p0", "p1"))
+        earlier = F.struct(f"{b}l.doc", f"{b}l.line") < F.struct(f"{a}l.doc", f"{a}l.line")
+        return earlier & (F.greatest(F.abs(off), F.abs(more), F.abs(off - more)) <= bound) & (odd <= 2 * bound)
+
+    def verified(pairs):
+        """lh of the pairs (lh, by) within the bound."""
+        p = pairs.distinct().join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b")
+
+        def run(it):
+            for r in it:
+                ok = []
+                for x, y in zip(r.column(1), r.column(2), strict=True):
+                    a, b = x.as_py().split(), y.as_py().split()
+                    ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
+                yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["lh"])
+
+        return p.mapInArrow(run, "lh long").distinct()
+
+    firsts = keys.groupBy("key").agg(F.min(F.struct("l", "place")).alias("o"), F.count("*").alias("c")).where("c > 1").select("key", F.col("o.l").alias("bl"), F.col("o.place").alias("bplace"))
+    mine = keys.where("not done").select("key", F.col("l").alias("al"), F.col("place").alias("aplace"))
+    pair = [F.col("al.lh").alias("lh"), F.col("bl.lh").alias("by")]
+    found = _shared.store(verified(mine.join(firsts, "key").where(possible("a", "b")).select(*pair)), "similar-first")
+    left = mine.withColumn("lh", F.col("al.lh")).join(found, "lh", "left_anti").drop("lh")
+    theirs = keys.select("key", F.col("l").alias("bl"), F.col("place").alias("bplace"))
+    rest = verified(left.join(theirs, "key").where(possible("a", "b")).select(*pair))
+    return found.unionByName(rest)

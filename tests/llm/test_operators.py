@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from helixframe.llm import decontaminate, exact_substrings, fingerprints, language_model, line_dedup, mixing, near_dedup, quality, token_output, warc
+from helixframe.llm import decontaminate, exact_substrings, fingerprints, language_model, line_dedup, mixing, near_dedup, quality, similar_lines, token_output, warc
 from helixframe.llm import queries as q
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -120,6 +120,66 @@ def test_one_edit():
     assert f(a, b"a x c d".split()) and f(a, b"a c d".split()) and f(b"b c d".split(), a) and not f(a, b"a d".split()) and not f(a, b"b a c d".split())
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_similar(docs):
+    """Lines that brute_lines keeps with an earlier one within a tenth of the words (one from 5 words)."""
+    docs = list(docs)
+    gone = {(i, int(k)) for i, x in brute_lines(docs).items() for k in x.split(",")}
+    first, out = {}, {}
+    for i, x in sorted(docs):
+        for k, line in enumerate((x or "").split("\n")):
+            w = tuple(SPLIT.findall(line))
+            if not w or w in first:
+                continue
+            if (i, k) not in gone:
+                for v in first:
+                    bound = 0 if max(len(v), len(w)) < 5 else max(1, max(len(v), len(w)) // 10)
+                    if abs(len(v) - len(w)) <= bound and (Counter(w) - Counter(v)).total() <= bound and edits(v, w) <= bound:
+                        out.setdefault(i, []).append(str(k))
+                        break
+            first[w] = (i, k)
+    return {i: ",".join(v) for i, v in out.items()}
+
+
+def test_similar_lines(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = ["a b c d\na b c x\na b c d e\nb c d e f\nb c d e\nb c d e g h", "p q r s t u v\np q r s t u v w"]
+    for n in (5, 7, 18, 19, 20, 29, 30, 51, 88, 140):
+        # few different words, so that triples repeat
+        line = list(rng.choice(WORDS[:9], n))
+        for cut in range(0, n // 10 + 3):
+            x = list(line)
+            for _ in range(cut):
+                at, what = int(rng.integers(len(x))), rng.integers(3)
+                x[at : at + int(what != 0)] = [] if what == 1 else ["new" + str(rng.integers(99))]
+            rows.append(" ".join(x) + "\n" + "  ".join(line))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = by_id(q.op2_line_dedup(spark, str(tmp_path))), brute_similar(enumerate(rows))
+    assert sum(x.count(",") + 1 for x in want.values()) >= 10
+    assert {i: r["similar"] for i, r in got.items()} == {i: want.get(i, "") for i in range(len(rows))}
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = brute_similar(texts)
+    small = by_id(q.op2_line_dedup(spark, SMALL))
+    assert {i: r["similar"] for i, r in small.items()} == {i: want.get(i, "") for i, _ in texts}
+
+
+def test_within_edits():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        a, b = (list(rng.choice([b"x", b"y", b"z"], rng.integers(0, 9))) for _ in range(2))
+        d = edits(a, b)
+        assert [similar_lines.within_edits(a, b, k) for k in range(10)] == [d <= k for k in range(10)]
+
+
 # ---------------------------------------------------------------------- WARC
 
 
