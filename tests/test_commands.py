@@ -80,6 +80,23 @@ def test_cancer(spark, reference, tmp_path):
     assert {r["t"] for r in got["reads"].select(F.substring("name", 1, 2).alias("t")).distinct().collect()} == {"N_", "T_"}
 
 
+@pytest.mark.parametrize("field", [{"mutation_model": "m"}, {"error_model": "m"}, {"gc_model": "m"}, {"fragment_model": "m"}, {"adapter": "ACGT"}, {"ploidy": 4}])
+def test_unsupported_fields_raise(spark, reference, tmp_path, field):
+    with pytest.raises(NotImplementedError, match=next(iter(field))):
+        commands.gen_reads(spark, config.GenReads(reference[0], str(tmp_path / "u"), **field))
+
+
+def test_unsupported_input_variants_raise(spark, reference, tmp_path):
+    s = reference[1]["chr1"]
+    plain = _vcf(tmp_path / "p.vcf", [("chr1", 100, s[99], _flip(s[99]))])
+    got = commands.gen_reads(spark, config.GenReads(reference[0], str(tmp_path / "p"), input_vcf=plain, coverage=1))
+    assert got["variants"].where("provenance = 'input'").count() == 1
+    for k, alt in enumerate(("<DEL>", _flip(s[199]) + _flip(s[200]) + "AAA")):
+        bad = _vcf(tmp_path / f"b{k}.vcf", [("chr1", 100, s[99], _flip(s[99])), ("chr1", 200, s[199:201], alt)])
+        with pytest.raises(NotImplementedError):
+            commands.gen_reads(spark, config.GenReads(reference[0], str(tmp_path / f"b{k}"), input_vcf=bad, coverage=1))
+
+
 def test_config():
     c = config.parse("reference: a.fa\noutput_prefix: x\ncoverage: .\nread_length: 100 # note\npaired: false\n", config.GenReads)
     assert c.coverage == 10.0 and c.read_length == 100
