@@ -132,10 +132,32 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, "header binary, payload binary")
 
 
+def from_records(rows: DataFrame) -> DataFrame:
+    """The columns of read_archive from the bytes of rebuilt records; a payload unlike its header raises.
+
+    A revisit's record has no payload: its digest and length are those of the page it refers to.
+    """
+    cut = rows.select("record", "payload_bytes", F.substring_index(F.col("record").cast("string"), CRLF + CRLF, 1).alias("h"))
+    # lengths in bytes: a URL may have letters beyond ASCII
+    cut = cut.select("payload_bytes", F.concat("h", F.lit(CRLF)).alias("head"), F.expr("substring(record, octet_length(h) + 5, octet_length(record) - octet_length(h) - 8)").alias("body"))
+    revisit = _field("WARC-Type") == "revisit"
+    digest = F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1)
+    length = F.octet_length("body").cast("long")
+    whole = (length == _field("Content-Length").cast("long")) & F.when(revisit, length == 0).otherwise(F.sha2("body", 256) == digest)
+    return cut.select(
+        _field("WARC-Page-ID").cast("long").alias("page_id"),
+        F.when(revisit, F.col("payload_bytes")).otherwise(length).alias("payload_bytes"),
+        F.when(whole, F.when(revisit, digest).otherwise(F.sha2("body", 256))).otherwise(F.raise_error(F.lit("a record is unlike its header"))).alias("payload_digest"),
+        _field("WARC-Type").alias("record_type"),
+        _field("WARC-Refers-To-Page").cast("long").alias("refers_to"),
+        length.alias("content_length"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _shared.new_folder(spark, "warc")
     write_archive(_shared.read(spark, sf_dir, "pages"), folder)
-    return read_archive(spark, folder)
+    return from_records(read_archive(spark, folder, with_record=True))
 
 
 OP3_SQL = """

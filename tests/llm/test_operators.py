@@ -198,6 +198,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_archive_query_reads_rebuilt_records(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "v", "x" * 200), (3, "wé漢", "é\r\n\r\né"), (4, "y", ""), (5, "z", None)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = by_id(q.op3_warc(spark, str(tmp_path)), "page_id")
+    assert [(got[k]["record_type"], got[k]["payload_bytes"], got[k]["content_length"]) for k in range(1, 6)] == [("response", 200, 200), ("revisit", 200, 0), ("response", 8, 8), ("response", 0, 0), ("response", 0, 0)]
+    assert got[3]["payload_digest"] == hashlib.sha256("é\r\n\r\né".encode()).hexdigest() and got[2]["refers_to"] == 1
+    # a record that lost a byte is found out
+    real = warc.read_archive
+    short = lambda *a, **k: real(*a, **k).withColumn("record", warc.F.expr("substring(record, 1, octet_length(record) - 1)"))
+    monkeypatch.setattr(warc, "read_archive", short)
+    with pytest.raises(Exception, match="unlike its header"):
+        q.op3_warc(spark, str(tmp_path)).collect()
+
+
 def test_archive_query_equals_sql(spark):
     import duckdb
 
