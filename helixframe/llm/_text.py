@@ -1,23 +1,26 @@
 """Vectorised byte-level text kernels shared by the operators.
 
 All of them work on a run of documents as Arrow hands them over: one byte
-buffer plus offsets.  A polynomial prefix hash (mod 2**64, random byte values)
-gives the hash of any byte range in O(1), so that words, shingles, phrases and
-windows are hashed without a Python loop over them.
+buffer plus offsets.  Byte ranges are hashed eight bytes at a step, all ranges
+at once, each step through a bijective finaliser; long ranges by BLAKE2b.  No
+hash is a polynomial of the bytes, so texts of no shape collide by construction,
+and nothing is kept between batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(0x5EED))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15 | 5
-BASE_INV = pow(BASE, -1, 2**64)
+LANES = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
+#: Ranges of more bytes are digested one by one.
+LONG = 512
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -28,22 +31,6 @@ NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_pows: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "i" if inverse else "f"
-    have = _pows.get(key)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        step = np.full(size, BASE_INV if inverse else BASE, dtype=np.uint64)
-        step[0] = 1
-        have = np.multiply.accumulate(step)
-        if size <= 1 << 25:
-            _pows[key] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public splitmix64 constants)."""
     h = h ^ (h >> U64(30))
@@ -92,20 +79,54 @@ def batches(it: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) ->
             yield b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    c = np.empty(len(data) + 1, np.uint64)
-    c[0] = 0
-    v = BYTE_VALUE[data]
-    v *= powers(len(data))
-    np.cumsum(v, out=c[1:])
-    return c
-
-
-def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] (position independent, its length mixed in)."""
-    h = c[end] - c[start]
-    h *= powers(len(c), True)[start]
-    return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+def _loader(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, zero beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
+    size = end - start
+    out = [mix(size.astype(np.uint64) + lane) for lane in LANES[:lanes]]
+    at = _loader(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    p, left = start[live], size[live]
+    while len(live):
+        w = at[p] & _MASK[np.minimum(left, 8)]
+        for k, h in enumerate(out):
+            h[live] = mix(h[live] ^ (w if k == 0 else mix(w + LANES[k])))
+        go = left > 8
+        live, p, left = live[go], p[go] + 8, left[go] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        d = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest(), np.uint64)
+        for k, h in enumerate(out):
+            h[i] = d[k]
+    return out
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end]."""
+    return _hash(data, start, end, 1)[0]
+
+
+def range_digest(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each data[start:end], as two halves."""
+    a, b = _hash(data, start, end, 2)
+    return a, b
+
+
+def equal_ranges(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from xs in x are those from ys in y, size of them."""
+    ok = np.ones(len(size), bool)
+    a, b = _loader(x), _loader(y)
+    live = np.flatnonzero(size > 0)
+    p, q, left = xs[live], ys[live], size[live]
+    while len(live):
+        same = ((a[p] ^ b[q]) & _MASK[np.minimum(left, 8)]) == 0
+        ok[live[~same]] = False
+        go = same & (left > 8)
+        live, p, q, left = live[go], p[go] + 8, q[go] + 8, left[go] - 8
+    return ok
 
 
 def spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +150,7 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool = T
     if lower:
         data = LOWER[data]
     s, e, ptr = spans(data, offs, table)
-    return s, e, ptr, range_hash(prefix_hash(data), s, e)
+    return s, e, ptr, range_hash(data, s, e)
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:

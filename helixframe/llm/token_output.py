@@ -15,6 +15,7 @@ text.  An empty table gives no rows and no files.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -41,8 +42,9 @@ class PieceTokenizer:
     The pattern of byte-level BPE never joins a character to a space or a
     newline right of it, nor an ASCII letter to certain punctuation, so texts
     are cut there and each different piece is encoded once by the tokenizers
-    library.  The table is emptied at ``max_pieces`` (a bound of memory, not of
-    results).
+    library.  A piece found by its hash is compared byte by byte with the one in
+    the table.  The table is emptied at ``max_pieces`` (a bound of memory, not of
+    results), and pieces of more than ``LONGEST`` bytes never enter it.
     """
 
     CUT_PUNCTUATION = np.zeros(256, bool)
@@ -54,7 +56,9 @@ class PieceTokenizer:
     TWO_BYTE_LEAD = np.zeros(256, bool)
     TWO_BYTE_LEAD[0xC3:0xE0] = True
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000):
+    LONGEST = 64
+
+    def __init__(self, path: str, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,11 +70,12 @@ class PieceTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.size, self.used, self.filled = 1 << 16, 0, 0
+        self.size, self.used = 1 << 16, 0
         self.keys = np.zeros(self.size, np.uint64)
-        self.at = np.zeros(self.size, np.int64)
-        self.n = np.zeros(self.size, np.int32)
-        self.ids = np.zeros(1 << 18, np.uint32)
+        self.entry = np.zeros(self.size, np.int32)
+        #: of each entry: its first id and byte; the last one's end
+        self.at, self.byte = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
@@ -86,16 +91,16 @@ class PieceTokenizer:
             left, slot = left[go], (slot[go] + 1) & mask
         return out
 
-    def _insert(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
         while self.used + len(h) > self.size // 2:
             full = self.keys != 0
-            old = self.keys[full], self.at[full], self.n[full]
+            old = self.keys[full], self.entry[full]
             self.size *= 2
-            self.keys, self.at, self.n, self.used = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64), np.zeros(self.size, np.int32), 0
+            self.keys, self.entry, self.used = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32), 0
             self._place(*old)
-        self._place(h, at, n)
+        self._place(h, entry)
 
-    def _place(self, h, at, n) -> None:
+    def _place(self, h, entry) -> None:
         self.used += len(h)
         slot = (h & U64(self.size - 1)).astype(np.int64)
         left = np.arange(len(h))
@@ -103,10 +108,22 @@ class PieceTokenizer:
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[left[free]]
             own = free & (self.keys[slot] == h[left])
-            self.at[slot[own]], self.n[slot[own]] = at[left[own]], n[left[own]]
+            self.entry[slot[own]] = entry[left[own]]
             go = ~own
             left, slot = left[go], (slot[go] + 1) & (self.size - 1)
 
+    def _find(self, h, data, starts, ends) -> np.ndarray:
+        """The entry of each piece, or -1: only one with the very bytes counts."""
+        slot = self._slots(h)
+        out = np.where(slot >= 0, self.entry[slot], -1)
+        got = np.flatnonzero(out >= 0)
+        e = out[got]
+        size = ends[got] - starts[got]
+        same = size == self.byte[e + 1] - self.byte[e]
+        same[same] = _text.equal_ranges(data, starts[got][same], self.raw, self.byte[e][same], size[same])
+        out[got[~same]] = -1
+        return out
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         got = [e.ids for e in out]
@@ -114,6 +131,14 @@ class PieceTokenizer:
         flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum()))
         return flat, n
 
+    def _encode_pieces(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        flat, n = self._encode([data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        own = np.concatenate([[0], np.cumsum(self.width[flat])])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        if not np.array_equal(own[edge[1:]] - own[edge[:-1]], ends - starts):
+            raise ValueError("the tokenizer does not keep the bytes of a text")
+        return flat, n.astype(np.int64)
+
     def cuts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of pieces, and each document's first piece (an empty document has none)."""
         n = len(data)
@@ -137,34 +162,41 @@ class PieceTokenizer:
         # a newline cut at a document's first byte would see the document before: offsets always start a piece
         starts, ptr = self.cuts(data, offs)
         ends = np.append(starts[1:], len(data))
-        h = _text.range_hash(_text.prefix_hash(data), starts, ends)
+        h = _text.range_hash(data, starts, ends)
         h[h == 0] = 1
         if self.used > self.max_pieces:
             self.clear()
-        slot = self._slots(h)
-        miss = np.flatnonzero(slot < 0)
+        entry = self._find(h, data, starts, ends)
+        miss = np.flatnonzero(entry < 0)
+        own_ids, at, n = self.ids, np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            first = miss[first]
-            raw = data.tobytes()
-            flat, n = self._encode([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            own = np.concatenate([[0], np.cumsum(self.width[flat])])
-            edge = np.concatenate([[0], np.cumsum(n)])
-            if not np.array_equal(own[edge[1:]] - own[edge[:-1]], ends[first] - starts[first]):
-                raise ValueError("the tokenizer does not keep the bytes of a text")
-            while self.filled + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self._insert(new, self.filled + edge[:-1], n)
-            self.filled += len(flat)
-            slot = self._slots(h)
-        at, n = self.at[slot], self.n[slot].astype(np.int64)
+            # one of each hash goes to the table; a long piece, or one that shares its hash with another, is encoded by itself
+            short = miss[ends[miss] - starts[miss] <= self.LONGEST]
+            new, first = np.unique(h[short], return_index=True)
+            first = short[first]
+            fresh = self._slots(new) < 0
+            new, first = new[fresh], first[fresh]
+            flat, count = self._encode_pieces(data, starts[first], ends[first])
+            base = len(self.at) - 1
+            self.at = np.append(self.at, self.at[-1] + np.cumsum(count))
+            self.byte = np.append(self.byte, self.byte[-1] + np.cumsum(ends[first] - starts[first]))
+            self.ids = np.append(self.ids, flat)
+            self.raw = np.concatenate([self.raw, *[data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]])
+            self._insert(new, (base + np.arange(len(new))).astype(np.int32))
+            entry[miss] = self._find(h[miss], data, starts[miss], ends[miss])
+            rest = miss[entry[miss] < 0]
+            flat, count = self._encode_pieces(data, starts[rest], ends[rest])
+            own_ids = np.append(self.ids, flat)
+            at[rest], n[rest] = len(self.ids) + np.cumsum(count) - count, count
+        known = entry >= 0
+        at[known], n[known] = self.at[entry[known]], (self.at[entry[known] + 1] - self.at[entry[known]])
         # the end id as one more piece after each document's
         at, n = np.insert(at, ptr[1:], 0), np.insert(n, ptr[1:], 1)
         is_end = np.zeros(len(at), bool)
         is_end[ptr[1:] + np.arange(len(ptr) - 1)] = True
         edge = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(at - edge[:-1], n) + np.arange(edge[-1])]
+        place = np.repeat(at - edge[:-1], n) + np.arange(edge[-1])
+        ids = own_ids[place] if len(own_ids) else np.zeros(len(place), np.uint32)
         ids[edge[:-1][is_end]] = end_id
         doc_ends = edge[1:][is_end]
         return ids, np.diff(doc_ends, prepend=0)
@@ -189,15 +221,18 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, doc_ids: list, doc_len: np.ndarray, meta: dict, percentile: float = 0.9) -> bytes:
+def _blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
+    """Whole blocks of ids; the last one may be short."""
     n = len(ids)
     n_blocks = -(-n // BLOCK)
-    low = np.minimum.reduceat(ids, np.arange(0, n, BLOCK)) if n else np.zeros(0, np.uint32)
+    if not n:
+        return []
+    low = np.minimum.reduceat(ids, np.arange(0, n, BLOCK))
     v = np.zeros((n_blocks, BLOCK), np.uint32)
     v.reshape(-1)[:n] = ids
     v -= low[:, None]
     v.reshape(-1)[n:] = 0
-    width = _bits(np.sort(v, axis=1)[:, int(percentile * (BLOCK - 1))]) if n_blocks else np.zeros(0, np.int64)
+    width = _bits(np.sort(v, axis=1)[:, int(percentile * (BLOCK - 1))])
     over = (v.astype(np.uint64) >> width.astype(np.uint64)[:, None]) > 0
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width):
@@ -213,55 +248,110 @@ def pack(ids: np.ndarray, doc_ids: list, doc_len: np.ndarray, meta: dict, percen
                 out[word + 1] |= x[j] >> U64(64 - off)
         for r, b in zip(rows, out.T.reshape(len(rows), -1), strict=True):
             packed[r] = b.astype("<u8").tobytes()
-    parts, starts, at = [MAGIC], np.zeros(n_blocks + 1, "<u8"), len(MAGIC)
+    done = []
     for b in range(n_blocks):
         where = np.flatnonzero(over[b])
-        block = BLOCK_HEAD.pack(int(low[b]), int(width[b]), 0, len(where), min(BLOCK, n - b * BLOCK)) + packed[b] + where.astype("<u2").tobytes() + v[b][where].astype("<u4").tobytes()
-        starts[b] = at
-        at += len(block)
-        parts.append(block)
-    starts[n_blocks] = at
-    null = np.array([d is None for d in doc_ids], np.uint8)
-    foot = [starts.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), doc_len.astype("<u8").tobytes()]
-    tail = json.dumps(meta | {"blocks": n_blocks, "docs": len(doc_ids), "ids": n}).encode()
-    return b"".join([*parts, *foot, tail, struct.pack("<I", len(tail)), MAGIC])
-
-
-def unpack(raw: bytes) -> tuple[np.ndarray, list, np.ndarray, dict]:
-    """(ids, doc_ids, number of ids of each document, meta) of a file's bytes."""
-    if raw[:8] != MAGIC or raw[-8:] != MAGIC:
-        raise ValueError("not a token file")
-    size = struct.unpack("<I", raw[-12:-8])[0]
-    meta = json.loads(raw[-12 - size : -12])
-    n_blocks, n_docs = meta["blocks"], meta["docs"]
-    at = len(raw) - 12 - size - 8 * (n_blocks + 1) - 17 * n_docs
-    starts = np.frombuffer(raw, "<u8", n_blocks + 1, at).astype(np.int64)
-    doc_ids = np.frombuffer(raw, "<i8", n_docs, at + 8 * (n_blocks + 1))
-    null = np.frombuffer(raw, "u1", n_docs, at + 8 * (n_blocks + 1 + n_docs))
-    doc_len = np.frombuffer(raw, "<u8", n_docs, at + 8 * (n_blocks + 1) + 9 * n_docs).astype(np.int64)
-    heads = [BLOCK_HEAD.unpack_from(raw, s) for s in starts[:-1].tolist()]
-    width = np.array([h[1] for h in heads], np.int64)
-    v = np.zeros((n_blocks, BLOCK), np.uint32)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        if not w:
-            continue
-        x = np.stack([np.frombuffer(raw, "<u8", BLOCK // 64 * int(w), starts[r] + BLOCK_HEAD.size) for r in rows])
-        x = x.reshape(len(rows) * (BLOCK // 64), int(w)).T.copy()
-        out = np.empty((64, x.shape[1]), np.uint64)
-        for j in range(64):
-            word, off = divmod(j * int(w), 64)
-            out[j] = x[word] >> U64(off)
-            if off + w > 64:
-                out[j] |= x[word + 1] << U64(64 - off)
-        out &= U64((1 << int(w)) - 1)
-        v[rows] = out.T.reshape(len(rows), BLOCK)
-    for b, (low, w, _, n_exc, _) in enumerate(heads):
-        if n_exc:
-            p = starts[b] + BLOCK_HEAD.size + BLOCK // 64 * 8 * w
-            v[b, np.frombuffer(raw, "<u2", n_exc, p)] = np.frombuffer(raw, "<u4", n_exc, p + 2 * n_exc)
-        v[b] += np.uint32(low)
-    return v.reshape(-1)[: meta["ids"]], [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], doc_len, meta
+        done.append(BLOCK_HEAD.pack(int(low[b]), int(width[b]), 0, len(where), min(BLOCK, n - b * BLOCK)) + packed[b] + where.astype("<u2").tobytes() + v[b][where].astype("<u4").tobytes())
+    return done
+
+
+class Writer:
+    """Writes a token file to a stream, block by block: it holds less than GROUP blocks at a time."""
+
+    GROUP = 256
+
+    def __init__(self, out, meta: dict, percentile: float = 0.9):
+        self.out, self.meta, self.percentile = out, meta, percentile
+        self.starts, self.at, self.n = [], len(MAGIC), 0
+        self.doc_ids, self.lens, self.rest = [], [], np.zeros(0, np.uint32)
+        out.write(MAGIC)
+
+    def add(self, ids: np.ndarray, doc_ids: list, lens: np.ndarray) -> None:
+        self.doc_ids += doc_ids
+        self.lens.append(lens.astype("<u8"))
+        self.n += len(ids)
+        ids = np.concatenate([self.rest, ids])
+        step = self.GROUP * BLOCK
+        whole = len(ids) // BLOCK * BLOCK
+        for i in range(0, whole, step):
+            self._put(ids[i : min(whole, i + step)])
+        self.rest = ids[whole:].copy()
+
+    def _put(self, ids: np.ndarray) -> None:
+        for b in _blocks(ids, self.percentile):
+            self.starts.append(self.at)
+            self.at += len(b)
+            self.out.write(b)
+
+    def close(self) -> None:
+        self._put(self.rest)
+        starts = np.array([*self.starts, self.at], "<u8")
+        null = np.array([d is None for d in self.doc_ids], np.uint8)
+        lens = np.concatenate(self.lens) if self.lens else np.zeros(0, "<u8")
+        tail = json.dumps(self.meta | {"blocks": len(starts) - 1, "docs": len(self.doc_ids), "ids": self.n}).encode()
+        for x in (starts.tobytes(), np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(), null.tobytes(), lens.tobytes(), tail, struct.pack("<I", len(tail)), MAGIC):
+            self.out.write(x)
+
+
+class Reader:
+    """A token file's bytes: documents by the footer, ids by blocks."""
+
+    def __init__(self, raw: bytes):
+        raw = memoryview(raw)
+        if raw[:8] != MAGIC or raw[-8:] != MAGIC:
+            raise ValueError("not a token file")
+        size = struct.unpack("<I", raw[-12:-8])[0]
+        self.raw, self.meta = raw, json.loads(bytes(raw[-12 - size : -12]))
+        n_blocks, n_docs = self.meta["blocks"], self.meta["docs"]
+        at = len(raw) - 12 - size - 8 * (n_blocks + 1) - 17 * n_docs
+        self.starts = np.frombuffer(raw, "<u8", n_blocks + 1, at).astype(np.int64)
+        ids = np.frombuffer(raw, "<i8", n_docs, at + 8 * (n_blocks + 1))
+        null = np.frombuffer(raw, "u1", n_docs, at + 8 * (n_blocks + 1 + n_docs))
+        self.doc_ids = [None if z else int(d) for d, z in zip(ids, null, strict=True)]
+        self.lens = np.frombuffer(raw, "<u8", n_docs, at + 8 * (n_blocks + 1) + 9 * n_docs).astype(np.int64)
+
+    def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Ids of the blocks from first to before last."""
+        raw, starts = self.raw, self.starts[first : (self.meta["blocks"] if last is None else last)]
+        heads = [BLOCK_HEAD.unpack_from(raw, s) for s in starts.tolist()]
+        width = np.array([h[1] for h in heads], np.int64)
+        v = np.zeros((len(heads), BLOCK), np.uint32)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            if not w:
+                continue
+            x = np.stack([np.frombuffer(raw, "<u8", BLOCK // 64 * int(w), starts[r] + BLOCK_HEAD.size) for r in rows])
+            x = x.reshape(len(rows) * (BLOCK // 64), int(w)).T.copy()
+            out = np.empty((64, x.shape[1]), np.uint64)
+            for j in range(64):
+                word, off = divmod(j * int(w), 64)
+                out[j] = x[word] >> U64(off)
+                if off + w > 64:
+                    out[j] |= x[word + 1] << U64(64 - off)
+            out &= U64((1 << int(w)) - 1)
+            v[rows] = out.T.reshape(len(rows), BLOCK)
+        for b, (low, w, _, n_exc, _) in enumerate(heads):
+            if n_exc:
+                p = starts[b] + BLOCK_HEAD.size + BLOCK // 64 * 8 * w
+                v[b, np.frombuffer(raw, "<u2", n_exc, p)] = np.frombuffer(raw, "<u4", n_exc, p + 2 * n_exc)
+            v[b] += np.uint32(low)
+        return v.reshape(-1)[: sum(h[4] for h in heads)]
+
+    def documents(self, group: int = 256):
+        """(first document, last + 1, ids of them, or a part of one document's), a group of blocks after another."""
+        ends = np.cumsum(self.lens)
+        at, doc, carry = 0, 0, np.zeros(0, np.uint32)
+        for b in range(0, self.meta["blocks"], group):
+            ids = np.concatenate([carry, self.ids(b, min(self.meta["blocks"], b + group))])
+            whole = int(np.searchsorted(ends, at + len(ids), "right"))
+            if whole > doc:
+                cut = int(ends[whole - 1]) - at
+                yield doc, whole, ids[:cut]
+                doc, at, ids = whole, at + cut, ids[cut:]
+            if len(ids) >= group * BLOCK:  # a document longer than a group of blocks goes out in parts
+                yield doc, doc, ids
+                at, ids = at + len(ids), ids[:0]
+            carry = ids
 
 
 # ----------------------------------------------------------------- operators
@@ -278,19 +368,20 @@ def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        tok = tokenizer(tokenizer_path)
-        ids, lens, doc_ids = [], [], []
-        for b, data, offs in _text.batches(it, "text"):
-            i, c = tok.encode(data, offs, end_id)
-            ids.append(i)
-            lens.append(c)
-            doc_ids += b.column(0).to_pylist()
-        if not doc_ids:
+        pieces = _text.batches(it, "text", 1 << 20)
+        first = next(pieces, None)
+        if first is None:
             return
-        all_ids = np.concatenate(ids)
+        tok, n_docs, n_ids = tokenizer(tokenizer_path), 0, 0
         path = f"{out}/shard-{shard:08d}.pfor"
-        _files.put(path, pack(all_ids, doc_ids, np.concatenate(lens), {"shard": shard}, percentile))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(all_ids)], pa.int64())})
+        with _files.writing(path) as stream:
+            w = Writer(stream, {"shard": shard}, percentile)
+            for b, data, offs in itertools.chain([first], pieces):
+                ids, lens = tok.encode(data, offs, end_id)
+                w.add(ids, b.column(0).to_pylist(), lens)
+                n_docs, n_ids = n_docs + len(lens), n_ids + len(ids)
+            w.close()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     found = src.mapInArrow(write, "shard long, path string, n_docs long, n_ids long")
     return _shared.store(found, "token-manifest")
@@ -302,20 +393,31 @@ def decode_files(spark: SparkSession, out: str, manifest: DataFrame, with_ids: b
     def read(it):
         for b in it:
             for raw in b.column(0):
-                ids, doc_ids, lens, meta = unpack(raw.as_py())
-                ids = ids.astype("<u4", copy=False)
-                ends = np.cumsum(lens)
-                edges = list(zip((ends - lens).tolist(), ends.tolist(), strict=True))
-                cols = {
-                    "shard": pa.array(np.full(len(doc_ids), meta["shard"]), pa.int64()),
-                    "doc_id": pa.array(doc_ids, pa.int64()),
-                    "local": pa.array(ends - lens, pa.int64()),
-                    "n_tokens": pa.array(lens, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in edges], pa.int64()),
-                }
-                if with_ids:
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
-                yield pa.RecordBatch.from_pydict(cols)
+                f = Reader(raw.as_buffer())
+                ends = np.cumsum(f.lens)
+                part_crc, part_ids = 0, []
+                for i, j, ids in f.documents():
+                    ids = ids.astype("<u4", copy=False)
+                    if i == j:
+                        part_crc = zlib.crc32(ids, part_crc)
+                        part_ids += [ids] if with_ids else []
+                        continue
+                    # ids of documents i to j, without what went before of the first one
+                    edge = np.concatenate([[0], np.cumsum(f.lens[i:j])])
+                    edge[1:] -= edge[-1] - len(ids)
+                    crc = [zlib.crc32(ids[a:z], part_crc if k == 0 else 0) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))]
+                    cols = {
+                        "shard": pa.array(np.full(j - i, f.meta["shard"]), pa.int64()),
+                        "doc_id": pa.array(f.doc_ids[i:j], pa.int64()),
+                        "local": pa.array((ends - f.lens)[i:j], pa.int64()),
+                        "n_tokens": pa.array(f.lens[i:j], pa.int64()),
+                        "ids_crc32": pa.array(crc, pa.int64()),
+                    }
+                    if with_ids:
+                        all_ids = np.concatenate([*part_ids, ids]).astype(np.int32)
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(f.lens[i:j])), pa.int32()), pa.array(all_ids))
+                    part_crc, part_ids = 0, []
+                    yield pa.RecordBatch.from_pydict(cols)
 
     schema = "shard long, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     if manifest.isEmpty():
