@@ -9,8 +9,12 @@ the counts, its events are binned by bucket and (quarter-octave) estimates, and
 the bins' sums, whose number is bounded, are what the iterations run on.  Final
 scores use the counts of all training documents.
 
-n-grams never move as rows.  A pack of documents sends each bucket of the key
-space its distinct n-grams with counts and gets totals back.
+n-grams never move as rows.  A pack of documents sends its distinct n-grams with
+counts to ranges of the key space and gets totals back (``_packs.exchange``).
+Documents of the deleted fold have packs of their own, so that the events of
+expectation-maximisation read a tenth of the corpus.  A word's key has 62 bits
+of its hash and a longer gram's 56, so that counts of the corpus can be those of
+two grams together only where grams run into the thousands of millions.
 
 Tokens are words (ASCII capitals lower-cased) and one end a document, which
 counts as a token.  Words that training has not seen share the base's class of
@@ -37,6 +41,8 @@ U64 = np.uint64
 END, BOS = U64(0xE4D0E4D0E4D0E4D1), U64(0xB05B05B05B05B053)
 HELD_OUT, DELETED = 0, 1
 NONE = -(1 << 14)
+#: Low bits of a word's key, and of a longer gram's, that hold its order.
+KEPT = (U64(3), U64(255))
 
 
 def fold(doc_id: int | None, folds: int = 10) -> int:
@@ -60,7 +66,7 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarr
         token = np.flatnonzero(where >= order - 1)
         for k in range(1, order + 1):
             g = _text.combine(ext, k)[token - k + 1]
-            out[k - 1].append((g & ~U64(3)) | U64(k))
+            out[k - 1].append((g & ~KEPT[min(k, 2) - 1]) | U64(1 if k == 1 else 4 * k + 2))
         lens.append(n)
     n = np.concatenate(lens) if lens else np.zeros(0, np.int64)
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out], np.concatenate([[0], np.cumsum(n)])
@@ -103,39 +109,30 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    packs = _packs.make(docs, pack_bytes)
-    n_buckets = _packs.n_buckets(packs)
-    edges = np.array([(k * 2**64) // n_buckets for k in range(n_buckets)], np.uint64)
+def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes: int = 8 << 20, **dealt: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
+
+    dealt: arguments of ``_packs.exchange``.
+    """
+    packs = _packs.make(docs, pack_bytes, F.crc32(F.col("doc_id").cast("string")) % folds == DELETED)
+    n_packs = packs.count()
+    end_key = (_text.combine(np.array([END], np.uint64), 1)[0] & ~KEPT[0]) | U64(1)
 
     def ask(it):
         for pack, ids, null, offs, data in _packs.opened(it):
             levels, ptr = grams(data, offs, order)
             f = np.array([fold(None if z else i, folds) for i, z in zip(ids.tolist(), null.tolist(), strict=True)], np.int64)
-            kind = np.repeat(np.where(f == HELD_OUT, 0, np.where(f == DELETED, 2, 1)), np.diff(ptr))
-            keys, inv = np.unique(np.concatenate(levels), return_inverse=True)
-            kind = np.tile(kind, order)
-            main, deleted = (np.bincount(inv[kind == k], minlength=len(keys)).astype(np.uint32) for k in (1, 2))
-            cut = np.append(np.searchsorted(keys, edges), len(keys))
-            yield _packs.batch([(b, pack, 1, _packs.squeeze(main[i:j], deleted[i:j], *_packs.planes(keys[i:j]))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
-
-    end_key = (_text.combine(np.array([END], np.uint64), 1)[0] & ~U64(3)) | U64(1)
-
-    def answer(b, rows):
-        parts = [_packs.expand(body) for _, _, body in rows]
-        keys = [_packs.unplanes(p[2:]) for p in parts]
-        all_, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        main = np.bincount(inv, np.concatenate([p[0] for p in parts]), len(all_)).astype(np.int64)
-        deleted = np.bincount(inv, np.concatenate([p[1] for p in parts]), len(all_)).astype(np.int64)
-        at = np.cumsum([0, *map(len, keys)])
-        out = [(src, b, 1, _packs.squeeze((main + deleted)[inv[at[k] : at[k + 1]]].astype(np.uint32), deleted[inv[at[k] : at[k + 1]]].astype(np.uint32))) for k, (src, _, _) in enumerate(rows)]
-        one = (all_ & U64(3)) == 1
-        end = np.flatnonzero(all_ == end_key)
-        stats = [int(((main + deleted)[one] > 0).sum()), int(main[one].sum() + deleted[one].sum()), int(main[one].sum()), int((main + deleted)[end].sum()), int(main[end].sum())]
-        yield _packs.batch([*out, (-1, b, 9, np.array(stats, np.int64).tobytes())])
-
-    replies = _shared.store(_packs.by_dest(packs.mapInArrow(ask, _packs.SCHEMA), answer), "ngram-counts")
+            kind = np.tile(np.repeat(np.where(f == HELD_OUT, 0, np.where(f == DELETED, 2, 1)), np.diff(ptr)), order)
+            yield pack, _packs.collapse(np.concatenate(levels), [], [kind == 1, kind == 2])[0]
+
+    def answer(e):
+        main, deleted = (c.astype(np.int64) for c in e.counts)
+        one = (e.keys & KEPT[0]) == 1
+        end = np.flatnonzero(e.keys == end_key)
+        note = [((main + deleted)[one] > 0).sum(), main[one].sum() + deleted[one].sum(), main[one].sum(), (main + deleted)[end].sum(), main[end].sum()]
+        return [main + deleted, deleted], note
+
+    replies = _shared.store(_packs.exchange(packs, ask, answer, n_packs, notes=True, **dealt), "ngram-counts")
 
     def unpack_stats(it):
         for r in it:
@@ -149,12 +146,8 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
         """The pack's documents and, for every token, counts of its grams (all, deleted) by order."""
         ids, null, offs, data = _packs.expand(rows[0][2])
         levels, ptr = grams(data, offs, order)
-        keys, inv = np.unique(np.concatenate(levels), return_inverse=True)
-        cut = np.append(np.searchsorted(keys, edges), len(keys))
-        all_, deleted = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for src, kind, body in rows[1:]:
-            if kind == 1:
-                all_[cut[src] : cut[src + 1]], deleted[cut[src] : cut[src + 1]] = _packs.expand(body)
+        inv = np.unique(np.concatenate(levels), return_inverse=True)[1]
+        all_, deleted = (c.astype(np.int64) for c in _packs.replied([body for _, kind, body in rows if kind == 2]))
         n = ptr[-1]
         split = lambda x: [x[inv[k * n : (k + 1) * n]] for k in range(order)]
         return ids, null, ptr, split(all_), split(deleted)
@@ -173,19 +166,17 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
 
     def events(pack, rows):
         ids, null, ptr, all_, deleted = counted(rows)
-        f = np.array([fold(None if z else i, folds) for i, z in zip(ids.tolist(), null.tolist(), strict=True)], np.int64)
-        own = np.repeat(f == DELETED, np.diff(ptr))
         b, ml = estimates([a - d for a, d in zip(all_, deleted, strict=True)], ptr, n_main, d_main)
         q = [np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300))), NONE).astype(np.int64) for p in ml]
-        code = b[own]
+        code = b
         for x in q:
-            code = (code << 15) | (x[own] + (1 << 14))
+            code = (code << 15) | (x + (1 << 14))
         cells, n = np.unique(code, return_counts=True)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
 
-    asked = packs.unionByName(replies.where("kind = 1"))
+    asked = packs.unionByName(replies.where("kind = 1").withColumn("kind", F.lit(2)))
     # at most SPAN * order rows times the estimates' quarter octaves, however large the corpus
-    binned = _packs.by_dest(asked, events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    binned = _packs.by_dest(asked.where("dest % 2 = 1"), events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
     code, n = binned.column("cell").to_numpy(), binned.column("n").to_numpy().astype(float)
     q = np.stack([(code >> (15 * (order - 1 - k)) & 0x7FFF) - (1 << 14) for k in range(order)], axis=1) if len(code) else np.zeros((0, order), np.int64)
     uniform = 1 / (v + 1)
