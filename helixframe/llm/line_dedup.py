@@ -1,210 +1,364 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines are compared as word sequences.  A line of at least ``min_words`` words
-has as near duplicates the lines within one word edit (insertion, deletion or
-substitution); a shorter line only its equals.  A line is dropped if an earlier
-one, by (doc_id, line number), is its equal or near duplicate; blank lines stay.
-
-Lines with an earlier one within the bound of ``similar_lines.edit_bound``, which
-grows with their length and has one edit for lines of 5 words or more, are listed
-besides as similar, unless they are dropped anyway.
-
-Equal lines collapse first.  Two lines within one edit share the first or the
-last half of their words, so lines that share no half with another are done.
-The rest emit, for each word of the other half, the hash of the line without it
-(with the word's place: equal keys mean a substitution there; alone: it equals a
-line that is one word shorter).  Minima over equal variants give each line its
-earliest neighbour, so a variant that many lines share costs what it has lines;
-the edit distance of a line and its neighbour is verified on their words.
+Lines are compared as word sequences.  A line is dropped if an earlier one, by
+(doc_id, line number), is its equal, or is within ``edit_bound`` word edits
+(insertion, deletion, substitution): none where the longer of both has less than
+5 words, one from there, a tenth of its words from 20.  Blank lines stay.
+
+Equal lines collapse first (by a 128-bit BLAKE2b digest), combined on the map
+side.  A distinct line below 20 words emits its deletion neighbourhood: itself
+and itself without each of its words, as hashed keys; two lines within one edit
+share a variant.  For larger bounds the neighbourhood explodes, so a longer line
+emits what no edit within the bound can destroy altogether: an edit touches at
+most three of a line's word triples, so of lines within k edits the 3k + 1
+triples that come first in an order common to all lines have one in common (a
+triple that repeats in a line is told apart by its number).
+
+Packs of distinct lines ask which of their keys another line has too
+(``_packs.exchange``); only lines with such a key go on as rows.  A line first
+tries the earliest line of each of its keys; lines that this does not settle are
+compared with all earlier ones that share a key, unless lengths, places or
+parities of words rule the bound out.  The edit distance is verified on the words.
 
 Nulls: a null text has no lines; a null doc_id sorts first.  Rows that repeat a
-doc_id are one document whose lines tie; equal lines of a tie are all kept or
-dropped alike.  An empty table gives no rows; other columns are ignored.
+doc_id are told apart, and ordered, by a hash of their text; rows that repeat
+both are kept or dropped alike.  An empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, _text, similar_lines
+from . import _packs, _shared, _text
 
 U64 = np.uint64
 LINE = np.ones(256, bool)
 LINE[10] = False
+#: Fewest words of the longer of two lines within one edit, and within more.
+SHORT, LONG = 5, 20
+
+
+def edit_bound(n: int) -> int:
+    """Word edits allowed between two lines of which the longer has n words."""
+    return 0 if n < SHORT else max(1, n // 10)
+
+
+def within_edits(a: list[bytes], b: list[bytes], k: int) -> bool:
+    """Whether k word edits turn a into b: furthest places on each diagonal, edit by edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
+        return False
+    if k > 1:
+        ca, cb = Counter(a), Counter(b)
+        if max((ca - cb).total(), (cb - ca).total()) > k:
+            return False
+
+    def slide(i, d):
+        while i < n and i + d < m and a[i] == b[i + d]:
+            i += 1
+        return i
+
+    far = {0: slide(0, 0)}
+    for e in range(k + 1):
+        if far.get(m - n, -1) >= n:
+            return True
+        step = {}
+        for d in range(max(-e - 1, -n), min(e + 1, m) + 1):
+            # a substitution, a word of b more, a word of a more
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            if i >= 0:
+                i = min(i, n, m - d)
+                step[d] = slide(i, d)
+        far = step
+    return False
 
 
 def split_lines(data: np.ndarray, offs: np.ndarray):
-    """Non-blank lines: (document, line number, start, end, first word, last word + 1, word hashes)."""
+    """Non-blank lines: (document, line number, start, end)."""
     s, e, ptr = _text.spans(data, offs, LINE)
-    ws, _, _, wh = _text.words(data, offs, _text.NOT_SPACE, lower=False)
-    first, last = np.searchsorted(ws, s), np.searchsorted(ws, e)
+    ws, _, _ = _text.spans(data, offs, _text.NOT_SPACE)
     doc = np.searchsorted(ptr, np.arange(len(s)), "right") - 1
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     number = breaks[s] - breaks[offs[doc]]
-    ok = last > first
-    return doc[ok], number[ok], s[ok], e[ok], first[ok], last[ok], wh
-
-
-def _prefix_sums(wh: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(wh) + 1, np.uint64)
-    np.cumsum(wh * _text.powers(len(wh)), out=c[1:])
-    return c
-
-
-def _sequence_hash(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Position-independent sums for words i..j of prefix sums c."""
-    return (c[j] - c[i]) * _text.powers(len(c), True)[i]
-
-
-def _finish(h: np.ndarray, n: np.ndarray, tag: int) -> np.ndarray:
-    return _text.mix(h + n.astype(np.uint64) * U64(0xD6E8FEB86659FD93) + U64(tag * 0x51ED27)).astype(np.int64, casting="unsafe")
+    ok = np.searchsorted(ws, e) > np.searchsorted(ws, s)
+    return doc[ok], number[ok], s[ok], e[ok]
+
+
+# ---------------------------------------------------------------------- keys
+
+
+def _salted(wh: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A value of each word at its place; a line's hash is their sum."""
+    return _text.mix(wh ^ _text.mix(place.astype(np.uint64) + U64(1)))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the deletion neighbourhood of each line: the whole line (place -1) and it without a word."""
+    n = np.diff(ptr)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(wh)) - ptr[:-1][row]
+    own, moved = _sums(_salted(wh, place)), _sums(_salted(wh, place - 1))
+    finish = lambda v, size: _text.mix(v + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    whole = finish(own[ptr[1:]] - own[ptr[:-1]], n)
+    at = np.flatnonzero(n[row] >= SHORT)
+    r = row[at]
+    less = finish((own[at] - own[ptr[:-1][r]]) + (moved[ptr[1:][r]] - moved[at + 1]), n[r] - 1)
+    return np.concatenate([np.arange(len(n)), r]), np.concatenate([np.full(len(n), -1), place[at]]), np.concatenate([whole, less])
+
+
+def triple_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the first triples of each line, in the common order."""
+    n = last - first
+    size = np.maximum(n - 2, 0)
+    row = np.repeat(np.arange(len(n)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    h = _text.combine(wh, 3)[first[row] + place] if len(row) else np.zeros(0, np.uint64)
+    by = np.lexsort((place, h, row))
+    row, place, h = row[by], place[by], h[by]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+    at = np.arange(len(row))
+    number = at - np.maximum.accumulate(np.where(new, at, 0)) if len(row) else at
+    key = _text.mix(h + number.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    by = np.lexsort((key, row))
+    row, place, key = row[by], place[by], key[by]
+    start = np.cumsum(size) - size
+    # a line of n words can be the shorter of a pair within n // 9 edits
+    keep = np.arange(len(row)) - start[row] < 3 * (n[row] // 9) + 1
+    return row[keep], place[keep], key[keep]
+
+
+def line_keys(data: np.ndarray, offs: np.ndarray):
+    """(words of each line, parities of its words, line of each key, its place, key), no key twice in a line.
+
+    48 bits of each key: lines that agree in them are candidates, no more.
+    """
+    _, _, ptr, wh = _text.words(data, offs, _text.NOT_SPACE, lower=False)
+    n = np.diff(ptr)
+    bit = wh & U64(127)
+    halves = [np.where((bit >> U64(6)) == side, U64(1) << (bit & U64(63)), U64(0)) for side in (0, 1)]
+    xor = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(x)]) if len(x) else np.zeros(1, np.uint64) for x in halves]
+    parity = [(x[ptr[1:]] ^ x[ptr[:-1]]).view(np.int64) for x in xor]
+    found = []
+    short = np.flatnonzero((n >= SHORT - 1) & (n < LONG))
+    if len(short):
+        sp = np.concatenate([[0], np.cumsum(n[short])])
+        at = np.repeat(ptr[:-1][short] - sp[:-1], n[short]) + np.arange(sp[-1])
+        row, place, key = variant_keys(wh[at], sp)
+        found.append((short[row], place, key & ~U64(1 << 16)))
+    long = np.flatnonzero(n >= LONG - LONG // 10)
+    if len(long):
+        row, place, key = triple_keys(wh, ptr[:-1][long], ptr[1:][long])
+        found.append((long[row], place, key | U64(1 << 16)))
+    row, place, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    key = key & ~U64(0xFFFF)
+    by = np.lexsort((place, key, row))
+    row, place, key = row[by], place[by], key[by]
+    keep = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
+    return n, parity, row[keep], place[keep], key[keep]
+
+
+# --------------------------------------------------------------------- packs
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("rk"), text.alias("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, line, n (words), lh (hash of the words), halves (keys of shared halves)."""
+    """lh (digest of the words), doc, rk, line, words; a line of a batch's earlier rows is left out."""
 
     def run(it):
         for b, data, offs in _text.batches(it, "text"):
-            doc, number, _, _, i, j, wh = split_lines(data, offs)
-            c = _prefix_sums(wh)
-            n = j - i
-            lh = _finish(_sequence_hash(c, i, j), n, 0)
-            h0, h1 = n // 2, (n + 1) // 2
-            keys = np.stack([_finish(_sequence_hash(c, i, i + h0), h0, 1), _finish(_sequence_hash(c, i, i + h1), h1, 1), _finish(_sequence_hash(c, j - h0, j), h0, 2), _finish(_sequence_hash(c, j - h1, j), h1, 2)], axis=1)
+            doc, number, s, e = split_lines(data, offs)
+            raw = data.tobytes()
+            words = [b" ".join(raw[x:y].split()) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(lh), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), 4).cast(pa.list_(pa.int64()))],
-                names=["doc", "line", "n", "lh", "halves"],
+                [pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in words], pa.binary()), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(words, pa.binary())],
+                names=["lh", "doc", "rk", "line", "words"],
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc long, line long, n long, lh long, halves array<long>")
+    return _keyed(docs).mapInArrow(run, "lh binary, doc long, rk long, line long, words binary")
 
 
-def variants(texts: DataFrame, min_words: int = 8) -> DataFrame:
-    """(vh, kind, lh, ord) of candidate lines: kind 0 the line, 1 without a word, 2 without the word at a place."""
+def line_packs(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
+    """Packs of distinct lines, each with its first place: (digests, doc, whether null, rk, line, offsets, words)."""
+    per = lines(docs).groupBy("lh").agg(F.min(F.struct("doc", "rk", "line")).alias("o"), F.first("words").alias("words"))
+    per = per.select("lh", "o.doc", "o.rk", "o.line", "words")
 
     def run(it):
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        held, size = [], 0
+
+        def flush(held):
+            t = pa.Table.from_batches(held)
+            lh, _ = _text.buffers(t.column("lh"))
+            words, offs = _text.buffers(t.column("words"))
+            number = lambda c: t.column(c).fill_null(0).to_numpy()
+            null = np.asarray(t.column("doc").is_null()).astype(np.uint8)
+            return _packs.batch([(part << 32 | seq, t.num_rows, 0, _packs.squeeze(np.ascontiguousarray(lh).view(np.uint64), number("doc"), null, number("rk"), number("line"), offs, words, level=3))])
+
+        for b, data, _ in _text.batches(it, "words", 1 << 20):
+            if size and size + len(data) > pack_bytes:
+                yield flush(held)
+                held, size, seq = [], 0, seq + 1
+            held.append(b)
+            size += len(data)
+        if held:
+            yield flush(held)
+
+    return _shared.store(per.mapInArrow(run, _packs.SCHEMA), "line-packs")
+
+
+CANDIDATE = "lh binary, doc long, rk long, line long, n long, p0 long, p1 long, keys array<long>, places array<long>, words binary"
+
+
+def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
+    """Lines (CANDIDATE) with a key that is not theirs alone, and those keys."""
+
+    def opened(body):
+        lh, doc, null, rk, line, offs, words = _packs.expand(body)
+        return lh.reshape(-1, 2), doc, null.astype(bool), rk, line, offs, words
+
+    def ask(it):
         for b in it:
-            data, offs = _text.buffers(b.column(b.schema.get_field_index("words")))
-            for x, y in _text.pieces(np.diff(offs), 1 << 20):
-                d, o = data[offs[x] : offs[y]], offs[x : y + 1] - offs[x]
-                _, _, ptr, wh = _text.words(d, o, _text.NOT_SPACE, lower=False)
-                part = b.slice(x, y - x)
-                head, tail = (part.column(part.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("in_head", "in_tail"))
-                c = _prefix_sums(wh)
-                n = np.diff(ptr)
-                row = np.repeat(np.arange(y - x), n)
-                place = np.arange(len(wh)) - ptr[:-1][row]
-                use = np.where(place >= n[row] // 2, tail[row], head[row]) & (n[row] >= similar_lines.SHORT)
-                at, row, place = np.flatnonzero(use), row[use], place[use]
-                i, j = ptr[:-1][row], ptr[1:][row]
-                # words before the place, and those after it moved one place left
-                left = _sequence_hash(c, i, at)
-                right = _sequence_hash(c, at + 1, j) * _text.powers(int(n.max(initial=0)) + 1)[place]
-                v = left + right
-                one = _finish(v, n[row] - 1, 0)
-                sub = _finish(v + _text.mix(place.astype(np.uint64) + U64(1)), n[row] - 1, 3)
-                first = np.concatenate([[True], (one[1:] != one[:-1]) | (row[1:] != row[:-1])])
-                full = np.arange(y - x)
-                vh = np.concatenate([_finish(_sequence_hash(c, ptr[:-1], ptr[1:]), n, 0), one[first], sub])
-                rows = np.concatenate([full, row[first], row])
-                kind = np.concatenate([np.zeros(len(full)), np.ones(int(first.sum())), np.full(len(sub), 2)])
-                keep = pa.array(rows)
-                # both lines of a pair have min_words: the other of kind 1 is a word shorter
-                strict = (n[rows] - (kind == 1)) >= min_words
-                yield pa.RecordBatch.from_arrays([pa.array(vh), pa.array(kind.astype(np.int32)), *[part.column(part.schema.get_field_index(k)).take(keep) for k in ("lh", "doc", "line")], pa.array(strict)], names=["vh", "kind", "lh", "doc", "line", "strict"])
-
-    return texts.mapInArrow(run, "vh long, kind int, lh long, doc long, line long, strict boolean")
-
-
-def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > 1:
-        return False
-    k = 0
-    while k < len(b) and a[k] == b[k]:
-        k += 1
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k + 1 :] == b[k:]
-
-
-def duplicate_lines(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(all lines: doc, line, lh; distinct lines that are dropped or first: lh, doc, line, near, similar)."""
-    every = _shared.store(lines(docs), "lines")
-    order = F.struct("doc", "line")
-    distinct = every.groupBy("lh").agg(F.min(order).alias("ord"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    distinct = _shared.store(distinct.select("lh", F.col("ord.doc").alias("doc"), F.col("ord.line").alias("line"), "n", "halves"), "lines-distinct")
-
-    # a half that two lines share; its side tells where the edit must be
-    h = distinct.where(F.col("n") >= similar_lines.SHORT - 1)
-    half = h.select("lh", F.posexplode(F.array(*[F.get("halves", F.lit(k)) for k in range(4)])).alias("k", "key")).select("lh", "key", (F.col("k") < 2).alias("tail")).distinct()
-    shared = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    cand = half.join(shared, "key").groupBy("lh").agg(F.max("tail").alias("in_tail"), F.max(~F.col("tail")).alias("in_head"))
-    cand = cand.join(distinct.select("lh", "doc", "line"), "lh")
-    texts = _shared.store(_words_of(docs, cand), "line-words")
-    v = _shared.store(variants(texts, min_words), "line-variants")
-    mins = v.groupBy("vh").agg(
-        F.count("*").alias("c"),
-        *[F.min(F.when(F.col("kind") == k, F.struct("doc", "line", "lh"))).alias(f"m{k}") for k in range(3)],
-    ).where("c > 1")
-    both = v.join(mins, "vh")
-    # a full line is one word short of a deleted one, and the reverse; equal places are substitutions
-    other = F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2"))
-    near = both.withColumn("o", other).where((F.struct("o.doc", "o.line") < F.struct("doc", "line")) & (F.col("o.lh") != F.col("lh")))
-    near = near.groupBy("lh").agg(F.min("o").alias("o"), F.max("strict").alias("near")).select("lh", F.col("o.lh").alias("by"), "near")
-    checked = near.join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b", "near")
-
-    def verify(it):
+            for pack, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                *_, offs, words = opened(body.as_py())
+                key = line_keys(words, offs)[-1]
+                yield pack, _packs.collapse(key, [], [np.ones(len(key), np.uint64)])[0]
+
+    replies = _packs.exchange(packs, ask, lambda e: ([(e.counts[0] > 1).astype(np.uint64)], []), packs.count(), **dealt)
+
+    def finish(pack, rows):
+        lh, doc, null, rk, line, offs, words = opened(rows[0][2])
+        n, parity, row, place, key = line_keys(words, offs)
+        if not len(key):
+            return
+        held = _packs.replied([body for _, kind, body in rows if kind == 2])[0]
+        use = held[np.unique(key, return_inverse=True)[1]] > 0
+        row, place, key = row[use], place[use], key[use].view(np.int64)
+        own, at = np.unique(row, return_index=True)
+        ends = pa.array(np.append(at, len(row)).astype(np.int32))
+        raw = words.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n[own], pa.int64()), *[pa.array(p[own]) for p in parity],
+                *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, place)], pa.array([raw[offs[k] : offs[k + 1]] for k in own.tolist()], pa.binary()),
+            ],
+            names=[x.strip().split(" ")[0] for x in CANDIDATE.split(",")],
+        )
+
+    return _packs.by_dest(packs.unionByName(replies.withColumn("kind", F.lit(2))), finish, CANDIDATE)
+
+
+def near_lines(cand: DataFrame) -> DataFrame:
+    """lh of the candidates that have an earlier line within the bound."""
+    order = ("doc", "rk", "line")
+    texts = cand.select("lh", "words")
+    keys = cand.select(F.struct(*order, "lh", "n", "p0", "p1").alias("l"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keys = keys.select("l", F.col("k.keys").alias("key"), F.col("k.places").cast("long").alias("place"))
+
+    def possible(a, b):
+        """Whether b is earlier than a and lengths, places and parities allow the bound."""
+        longer = F.greatest(F.col(f"{a}l.n"), F.col(f"{b}l.n"))
+        bound = F.when(longer < SHORT, 0).otherwise(F.greatest(F.lit(1), F.floor(longer / 10)))
+        off = F.col(f"{a}place") - F.col(f"{b}place")
+        more = F.col(f"{a}l.n") - F.col(f"{b}l.n")
+        odd = sum(F.bit_count(F.col(f"{a}l.{p}").bitwiseXOR(F.col(f"{b}l.{p}"))) for p in ("p0", "p1"))
+        earlier = F.struct(*[f"{b}l.{c}" for c in order]) < F.struct(*[f"{a}l.{c}" for c in order])
+        # places of deletions say nothing about lines of one edit
+        moved = (longer < LONG) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
+        return earlier & (F.abs(more) <= bound) & moved & (odd <= 2 * bound)
+
+    def verified(pairs):
+        """lh of the pairs (lh, by) within the bound."""
+        p = pairs.distinct().join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b")
+
+        def run(it):
+            for r in it:
+                ok = []
+                for x, y in zip(r.column(1), r.column(2), strict=True):
+                    a, b = x.as_py().split(), y.as_py().split()
+                    ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
+                yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["lh"])
+
+        return p.mapInArrow(run, "lh binary").distinct()
+
+    firsts = keys.groupBy("key").agg(F.min(F.struct("l", "place")).alias("o")).select("key", F.col("o.l").alias("bl"), F.col("o.place").alias("bplace"))
+    mine = keys.select("key", F.col("l").alias("al"), F.col("place").alias("aplace"))
+    pair = [F.col("al.lh").alias("lh"), F.col("bl.lh").alias("by")]
+    found = _shared.store(verified(mine.join(firsts, "key").where(possible("a", "b")).select(*pair)), "near-first")
+    left = mine.withColumn("lh", F.col("al.lh")).join(found, "lh", "left_anti").drop("lh")
+    theirs = keys.select("key", F.col("l").alias("bl"), F.col("place").alias("bplace"))
+    rest = verified(left.join(theirs, "key").where(possible("a", "b")).select(*pair))
+    return _shared.store(found.unionByName(rest), "near-lines")
+
+
+# ----------------------------------------------------------------- operators
+
+
+def dropped_lines(docs: DataFrame, pack_bytes: int = 8 << 20, **dealt: int) -> DataFrame:
+    """doc, rk (hash of the text), n_lines, equal and near (line numbers to drop), for each row.
+
+    dealt: arguments of ``_packs.exchange``.
+    """
+    packs = line_packs(docs, pack_bytes)
+    cand = _shared.store(candidates(packs, **dealt), "line-candidates")
+    near = near_lines(cand)
+
+    def places(it):
         for b in it:
-            ok = pa.array([within_one_edit(x.as_py().split(), y.as_py().split()) for x, y in zip(b.column(1), b.column(2), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(3).filter(ok)], names=["lh", "near"])
+            for body in b.column(3):
+                lh, doc, null, rk, line, *_ = _packs.expand(body.as_py())
+                lh = lh.reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lh], pa.binary()), pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(rk), pa.array(line)], names=["lh", "doc", "rk", "line"])
 
-    one = _shared.store(checked.mapInArrow(verify, "lh long, near boolean"), "line-near")
-    more = similar_lines.similar_lines(docs, distinct, one).select("lh", F.lit(False).alias("near"))
-    found = one.unionByName(more).withColumn("similar", ~F.col("near"))
-    return every.select("doc", "line", "lh"), distinct.select("lh", "doc", "line").join(found, "lh", "left")
+    # lines that are the first of their kind, by document, and those of them that are near an earlier one
+    first = packs.mapInArrow(places, "lh binary, doc long, rk long, line long").groupBy("doc", "rk").agg(F.collect_list("line").alias("first"))
+    close = near.join(cand.select("lh", "doc", "rk", "line"), "lh").groupBy("doc", "rk").agg(F.array_sort(F.collect_list("line")).alias("near"))
 
+    def numbers(it):
+        for b, data, offs in _text.batches(it, "text"):
+            doc, number, _, _ = split_lines(data, offs)
+            ends = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(number, pa.int64()))], names=["doc", "rk", "lines"])
 
-def _words_of(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    """lh, doc, line, in_head, in_tail, words of candidate lines."""
-    per = cand.groupBy("doc").agg(F.collect_list(F.struct("line", "lh", "in_head", "in_tail")).alias("w"))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    joined = src.join(per, src["doc"].eqNullSafe(per["doc"])).select(src["doc"], "text", "w")
+    rows = _keyed(docs).mapInArrow(numbers, "doc long, rk long, lines array<long>")
+    for t in (first, close):
+        t = t.withColumnsRenamed({"doc": "d", "rk": "r"})
+        rows = rows.join(t, F.col("doc").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r")), "left").drop("d", "r")
+    none = F.array().cast("array<bigint>")
+    return rows.select("doc", "rk", F.size("lines").cast("long").alias("n_lines"), F.array_except("lines", F.coalesce("first", none)).alias("equal"), F.coalesce("near", none).alias("near"))
 
-    def run(it):
-        for b in it:
-            out = {k: [] for k in ("lh", "doc", "line", "in_head", "in_tail", "words")}
-            for d, t, ws in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                rows = (t.as_py() or "").encode().split(b"\n")
-                for w in ws:
-                    if w["line"] < len(rows):
-                        out["doc"].append(d)
-                        out["words"].append(b" ".join(rows[w["line"]].split()))
-                        for k in ("lh", "line", "in_head", "in_tail"):
-                            out[k].append(w[k])
-            yield pa.RecordBatch.from_pydict({k: pa.array(x, {"words": pa.binary(), "in_head": pa.bool_(), "in_tail": pa.bool_()}.get(k, pa.int64())) for k, x in out.items()})
 
-    return joined.mapInArrow(run, "lh long, doc long, line long, in_head boolean, in_tail boolean, words binary")
+def without_lines(docs: DataFrame, **options: int) -> DataFrame:
+    """docs, all columns, with the lines dropped from their texts."""
+    gone = dropped_lines(docs, **options).select("doc", "rk", F.concat("equal", "near").alias("gone")).dropDuplicates(["doc", "rk"])
+    text = F.col("text").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("r"), F.split(text, "\n", -1).alias("lines"))
+    rows = rows.join(gone, F.col("d").eqNullSafe(F.col("doc")) & (F.col("r") == F.col("rk")), "left")
+    kept = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), i.cast("long"))), "\n")
+    return rows.select(*[(F.when(F.col("lines").isNull(), F.lit(None)).otherwise(kept) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those dropped as equals and as near duplicates, those similar besides, and their numbers."""
-    docs = _shared.read(spark, sf_dir, "documents")
-    every, firsts = duplicate_lines(docs)
-    rows = every.join(firsts.select("lh", F.col("doc").alias("d0"), F.col("line").alias("l0"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("near", "similar")]), "lh")
-    is_first = F.col("doc").eqNullSafe(F.col("d0")) & (F.col("line") == F.col("l0"))
-    rows = rows.withColumn("kind", F.when(~is_first, 1).when(F.col("near"), 2).when(F.col("similar"), 3).otherwise(0))
-    per = rows.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.count("*").alias("n_lines"),
-        F.sum((F.col("kind") == 1).cast("long")).alias("n_equal"),
-        F.sum((F.col("kind") == 2).cast("long")).alias("n_near"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind").isin(1, 2), F.col("line")))), ",").alias("dropped"),
-        F.sum((F.col("kind") == 3).cast("long")).alias("n_similar"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == 3, F.col("line")))), ",").alias("similar"),
-    )
-    out = docs.select(F.col("doc_id").cast("long").alias("_id")).join(per, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("_id").alias("doc_id"), zero("n_lines"), zero("n_equal"), zero("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"), zero("n_similar"), F.coalesce("similar", F.lit("")).alias("similar"))
+    """Per document: its non-blank lines, those dropped as equals and as near duplicates, and which."""
+    rows = dropped_lines(_shared.read(spark, sf_dir, "documents"))
+    count = lambda c: F.size(c).cast("long")
+    return rows.select(F.col("doc").alias("doc_id"), "n_lines", count("equal").alias("n_equal"), count("near").alias("n_near"), F.array_join(F.array_sort(F.concat("equal", "near")), ",").alias("dropped"))
