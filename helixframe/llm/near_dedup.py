@@ -6,7 +6,7 @@ sketch: the samples folded into a bitmap of parities.  The population count of
 two sketches' XOR estimates a high similarity precisely and clears candidates
 of the bands cheaply; what it lets through is confirmed on full shingle sets.
 
-Documents with equal sets are first collapsed to one representative.  In a band
+Documents with equal sets are first collapsed to one node.  In a band
 bucket every member is tried against the smallest id; components that result
 are merged, and only buckets whose members still lie in different components
 have their other cross-component pairs tried, in blocks of bounded size, by
@@ -15,8 +15,8 @@ between two components goes untested.
 
 Nulls and texts without words have an empty set and link to nothing.  Null
 doc_ids are kept as singletons of component null.  Rows that repeat a doc_id
-are one node; each row comes back.  An empty table gives no rows; other columns
-are ignored.
+are one document: the sets of all of them link it; each row comes back with the
+size of its own set.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +62,11 @@ def odd_sketch(mins: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(flip, axis=1)
 
 
+def set_keys(vals: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(sets, 3): what tells sets of shingles apart, 128 bits of hashes and the size."""
+    return np.stack([np.add.reduceat(_text.mix(vals), starts), np.add.reduceat(_text.mix(vals ^ SEED_XOR[0]), starts), size.astype(np.uint64)], axis=1)
+
+
 def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), bands, sketch."""
 
@@ -79,7 +84,7 @@ def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = RO
                 banded = np.zeros((bands, len(has)), np.uint64)
                 for i in range(bands):
                     banded[i] = _text.mix(_text.combine(np.ascontiguousarray(mins[i * rows : (i + 1) * rows].T).reshape(-1), rows)[::rows] + U64(i))
-                key = np.stack([np.add.reduceat(_text.mix(vals), starts), np.bitwise_xor.reduceat(vals, starts), size[has].astype(np.uint64)], axis=1)
+                key = set_keys(vals, starts, size[has])
                 banded = banded.T.astype(np.int64, casting="unsafe")
                 for j, d in enumerate(has.tolist()):
                     sketches[d], band_keys[d], keys[d] = sk[j].tobytes(), banded[j], key[j].tobytes()
@@ -92,16 +97,19 @@ def features(docs: DataFrame, n: int = 5, samples: int = SAMPLES, rows: int = RO
     return src.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
-def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, shingles (binary: sorted unsigned 64-bit hashes)."""
+def shingle_sets(texts: DataFrame, n: int = 5) -> DataFrame:
+    """id, shingles (binary: sorted unsigned 64-bit hashes) of rows (id, set_key, text) whose text has that set."""
 
     def run(it):
         for b, data, offs in _text.batches(it, "text"):
             _, _, ptr, h = _text.words(data, offs, _text.NOT_SPACE)
             vals, _, at = _text.shingles(h, ptr, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vals[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+            has = np.flatnonzero(np.diff(at))
+            keys = set_keys(vals, at[:-1][has], np.diff(at)[has]) if len(has) else []
+            same = [d for d, k, want in zip(has.tolist(), keys, b.column(1).take(pa.array(has)).to_pylist(), strict=True) if k.tobytes() == want]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(same, pa.int64())), pa.array([vals[at[d] : at[d + 1]].tobytes() for d in same], pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("id", "set_key", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -137,7 +145,7 @@ def _sketches_allow(pairs: DataFrame, most: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b), by their full shingle sets."""
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
+    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(it):
         for b in it:
@@ -158,20 +166,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _shared.store(joined.mapInArrow(run, "a long, b long"), "links")
 
 
-def _cross_pairs(members: DataFrame, most: int, block: int, nearest: int = 0, most_fine: int = 0) -> DataFrame:
+def _cross_pairs(members: DataFrame, percent: int, most: int, block: int, nearest: int = 0, most_fine: int = 0) -> DataFrame:
     """Candidate pairs of different components in one bucket, by sketch (key, id, component, sketch).
 
     All of them that a fine sketch (column fine) allows too, or the ``nearest`` few of each member outside the largest
     component.  A bucket is cut into blocks of about ``block`` members and each pair of
-    blocks is a group of its own: no task holds more than two blocks.
+    blocks is a group of its own: no task holds more than two blocks.  Sets whose sizes rule a link out are not compared.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "sketch", *([] if nearest else ["fine"]))
+    placed = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "size", "sketch", *([] if nearest else ["fine"]))
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp, i = (t.column(c).to_numpy() for c in ("id", "component", "i"))
+        ids, comp, i, size = (t.column(c).to_numpy() for c in ("id", "component", "i", "size"))
         sk, _ = _text.buffers(t.column("sketch"))
         sk = np.ascontiguousarray(sk).view(np.uint64).reshape(len(ids), -1)
         if not nearest:
@@ -184,7 +192,7 @@ def _cross_pairs(members: DataFrame, most: int, block: int, nearest: int = 0, mo
         a, b = [], []
         for x in small.tolist():
             # both members outside the largest component: once
-            other = np.flatnonzero((inv != inv[x]) & ((inv == count.argmax()) | (ids > ids[x]) | (nearest > 0)) & (one_block | (side != side[x])))
+            other = np.flatnonzero((inv != inv[x]) & ((inv == count.argmax()) | (ids > ids[x]) | (nearest > 0)) & (one_block | (side != side[x])) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
             if len(other):
                 d = np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1, dtype=np.int64)
                 if nearest and len(d) > nearest:
@@ -205,38 +213,44 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: floa
     """doc_id, n_shingles, component_id, kept, for each row of ``docs``."""
     most = sketch_distance(percent / 100 - margin)
     found = _shared.store(features(docs, n), "near-features")
-    reps = found.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = _shared.store(reps, "near-sets")
-    one = found.where("set_key is not null").join(reps.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("_k")), "doc_id").where("set_key = _k").dropDuplicates(["doc_id", "set_key"])
-    one = one.select(F.col("doc_id").alias("id"), "bands", "sketch")
+    own = found.where("set_key is not null and doc_id is not null")
+    reps = own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # numbered as they are stored, so that a retry sees the same ones
+    reps = _shared.store(_shared.store(reps, "near-sets").withColumn("id", F.monotonically_increasing_id()), "near-nodes")
     repeated_ids = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    banded = one.select("id", F.explode("bands").alias("key"))
+    banded = reps.select("id", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = _shared.store(banded.join(heads, "key").select("key", "head", "id"), "near-buckets")
-    sk = one.select("id", "sketch")
+    sk = reps.select("id", "sketch", "size")
 
     def with_sketches(pairs):
         return pairs.join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").select("a", "b", "sa", "sb")
 
-    nodes = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: never broadcast
-    sets = _shared.store(shingle_sets(texts, n).dropDuplicates(["doc_id"]) if repeated_ids else shingle_sets(texts, n), "near-shingles")
+    # ids grow with the input: never broadcast
+    nodes = reps.join(members.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "set_key", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(nodes.hint("merge"), "rep").select("id", "set_key", "text")
+    sets = shingle_sets(texts, n)
+    sets = _shared.store(sets.dropDuplicates(["id"]) if repeated_ids else sets, "near-shingles")
 
     stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     tested = _shared.store(_sketches_allow(with_sketches(stars), most), "near-candidates")
     links = _confirm(tested, sets, percent)
+    if repeated_ids:
+        # the sets of one document belong together
+        one = own.select("doc_id", "set_key").join(reps.select("set_key", "id"), "set_key").groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
+        links = links.unionByName(one.where(F.size("ids") > 1).select("a", F.explode("ids").alias("b")).where("a <> b"))
     comps = _shared.store(connected_components(links), "near-components")
     for nearest in (2, 0):
         # buckets that still hold several components
         now = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = now.join(split, "key").join(sk, "id").select("key", "id", "component", "sketch")
+        rest = now.join(split, "key").join(sk, "id").select("key", "id", "component", "size", "sketch")
         if not nearest:
             rest = _shared.store(rest, "near-rest")
-            fine = fine_sketches(sets.withColumnRenamed("doc_id", "id").join(rest.select("id").distinct(), "id", "left_semi"))
+            fine = fine_sketches(sets.join(rest.select("id").distinct(), "id", "left_semi"))
             rest = rest.join(_shared.store(fine, "near-fine"), "id")
-        pairs = _cross_pairs(rest, most, block, nearest, sketch_distance(percent / 100 - fine_margin, FINE_SAMPLES, FINE_BITS))
+        pairs = _cross_pairs(rest, percent, most, block, nearest, sketch_distance(percent / 100 - fine_margin, FINE_SAMPLES, FINE_BITS))
         more = _shared.store(pairs.join(tested, ["a", "b"], "left_anti"), "near-candidates")
         links = _confirm(more, sets, percent)
         if not links.isEmpty():
@@ -244,9 +258,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: floa
             comps = _shared.store(connected_components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))), "near-components")
         tested = tested.unionByName(more)
 
-    per_set = reps.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    # a component is known by its smallest doc_id
+    labelled = reps.select("id", "set_key", "rep").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    label = labelled.groupBy("component").agg(F.min("rep").alias("least"))
+    per_set = labelled.join(label, "component").select("set_key", "least")
     out = found.select("doc_id", "n_shingles", "set_key").join(per_set, "set_key", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    if repeated_ids:
+        # a row without shingles belongs where its document's other rows do
+        per_doc = out.where("doc_id is not null and least is not null").groupBy(F.col("doc_id").alias("d")).agg(F.min("least").alias("doc_least"))
+        out = out.join(per_doc, F.col("doc_id") == F.col("d"), "left").withColumn("least", F.coalesce("least", "doc_least"))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from helixframe.llm import decontaminate, exact_substrings, fingerprints, language_model, line_dedup, mixing, near_dedup, quality, similar_lines, token_output, warc
+from helixframe.llm import decontaminate, exact_substrings, fingerprints, language_model, line_dedup, mixing, near_dedup, quality, token_output, warc
 from helixframe.llm import queries as q
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -32,6 +32,14 @@ def odd_docs(spark, extra=()):
     return df.repartition(3), rows
 
 
+def thue_morse(n=11):
+    """Texts that a polynomial hash of bytes, or of words, takes for one another."""
+    t = [0]
+    for _ in range(n):
+        t += [1 - x for x in t]
+    return ["".join("ab"[x] for x in t), "".join("ba"[x] for x in t), " ".join("ab"[x] for x in t), " ".join("ba"[x] for x in t)]
+
+
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string")
 
@@ -81,45 +89,6 @@ def test_quality_odd_rows(spark):
 # ---------------------------------------------------------------- line dedup
 
 
-def brute_lines(docs, least=8):
-    rows = sorted((i, k, tuple(z for z in SPLIT.findall(line))) for i, x in docs for k, line in enumerate((x or "").split("\n")) if SPLIT.findall(line))
-    seen, sub, less, out = set(), set(), set(), {}
-    for i, k, w in rows:
-        kind = 0
-        if w in seen:
-            kind = 1
-        else:
-            if len(w) >= least:
-                keys = [(a, w[:a] + w[a + 1 :]) for a in range(len(w))]
-                if any(z in sub for z in keys) or any(v in seen and len(v) >= least for _, v in keys) or w in less:
-                    kind = 2
-                sub |= set(keys)
-                less |= {v for _, v in keys}
-            seen.add(w)
-        if kind:
-            out.setdefault(i, []).append(str(k))
-    return {i: ",".join(v) for i, v in out.items()}
-
-
-def test_line_dedup(spark, tmp_path):
-    line = " ".join(WORDS[:9])
-    docs, raw = odd_docs(spark, [line, line.replace("beta", "BETA"), line + " more\n" + line + " more and more", "short line\nshort line\nshort lines", line.replace("alpha ", "")])
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = by_id(q.op2_line_dedup(spark, str(tmp_path)))
-    want = brute_lines(enumerate(raw))
-    assert {i: r["dropped"] for i, r in got.items()} == {i: want.get(i, "") for i in range(len(raw))}
-    small = by_id(q.op2_line_dedup(spark, SMALL))
-    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    want = brute_lines(texts)
-    assert {i: r["dropped"] for i, r in small.items()} == {i: want.get(i, "") for i, _ in texts}
-
-
-def test_one_edit():
-    f = line_dedup.within_one_edit
-    a = b"a b c d".split()
-    assert f(a, b"a x c d".split()) and f(a, b"a c d".split()) and f(b"b c d".split(), a) and not f(a, b"a d".split()) and not f(a, b"b a c d".split())
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -129,29 +98,35 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_similar(docs):
-    """Lines that brute_lines keeps with an earlier one within a tenth of the words (one from 5 words)."""
-    docs = list(docs)
-    gone = {(i, int(k)) for i, x in brute_lines(docs).items() for k in x.split(",")}
+def brute_lines(docs):
+    """Lines equal to an earlier one, or within a tenth of the words of one (one edit from 5 words)."""
     first, out = {}, {}
     for i, x in sorted(docs):
         for k, line in enumerate((x or "").split("\n")):
             w = tuple(SPLIT.findall(line))
-            if not w or w in first:
+            if not w:
+                continue
+            if w in first:
+                out.setdefault(i, ([], []))[0].append(k)
                 continue
-            if (i, k) not in gone:
-                for v in first:
-                    bound = 0 if max(len(v), len(w)) < 5 else max(1, max(len(v), len(w)) // 10)
-                    if abs(len(v) - len(w)) <= bound and (Counter(w) - Counter(v)).total() <= bound and edits(v, w) <= bound:
-                        out.setdefault(i, []).append(str(k))
-                        break
-            first[w] = (i, k)
-    return {i: ",".join(v) for i, v in out.items()}
+            for v in first:
+                bound = 0 if max(len(v), len(w)) < 5 else max(1, max(len(v), len(w)) // 10)
+                if abs(len(v) - len(w)) <= bound and (Counter(w) - Counter(v)).total() <= bound and edits(v, w) <= bound:
+                    out.setdefault(i, ([], []))[1].append(k)
+                    break
+            first[w] = True
+    return {i: (len(a), len(b), ",".join(map(str, sorted(a + b)))) for i, (a, b) in out.items()}
+
 
+def lines_found(rows):
+    return {r["doc_id"]: (r["n_equal"], r["n_near"], r["dropped"]) for r in rows if r["dropped"]}
 
-def test_similar_lines(spark, tmp_path):
+
+def test_line_dedup(spark, tmp_path):
     rng = np.random.default_rng(11)
-    rows = ["a b c d\na b c x\na b c d e\nb c d e f\nb c d e\nb c d e g h", "p q r s t u v\np q r s t u v w"]
+    line = " ".join(WORDS[:9])
+    extra = [line, line.replace("beta", "BETA"), line + " more\n" + line + " more and more", "short line\nshort line\nshort lines", line.replace("alpha ", "")]
+    extra += ["a b c d\na b c x\na b c d e\nb c d e f\nb c d e\nb c d e g h", "p q r s t u v\np q r s t u v w"]
     for n in (5, 7, 18, 19, 20, 29, 30, 51, 88, 140):
         # few different words, so that triples repeat
         line = list(rng.choice(WORDS[:9], n))
@@ -160,16 +135,38 @@ def test_similar_lines(spark, tmp_path):
             for _ in range(cut):
                 at, what = int(rng.integers(len(x))), rng.integers(3)
                 x[at : at + int(what != 0)] = [] if what == 1 else ["new" + str(rng.integers(99))]
-            rows.append(" ".join(x) + "\n" + "  ".join(line))
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+            extra.append(" ".join(x) + "\n" + "  ".join(line))
+    extra += thue_morse()
+    docs, raw = odd_docs(spark, extra)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got, want = by_id(q.op2_line_dedup(spark, str(tmp_path))), brute_similar(enumerate(rows))
-    assert sum(x.count(",") + 1 for x in want.values()) >= 10
-    assert {i: r["similar"] for i, r in got.items()} == {i: want.get(i, "") for i in range(len(rows))}
+    want = brute_lines(enumerate(raw))
+    assert sum(x[1] for x in want.values()) >= 10
+    assert lines_found(q.op2_line_dedup(spark, str(tmp_path)).collect()) == want
+    # the same by relays, as many packs exchange their keys
+    rows = line_dedup.dropped_lines(docs.repartition(7), pack_bytes=500, most=2, bits=1).collect()
+    assert {r["doc"]: (len(r["equal"]), len(r["near"])) for r in rows if r["equal"] or r["near"]} == {i: x[:2] for i, x in want.items()}
+    clean = line_dedup.without_lines(docs)
+    assert clean.columns == docs.columns
+    gone = {i: set(x[2].split(",")) for i, x in want.items()}
+    kept = by_id(clean)
+    assert all(kept[i]["text"] == (None if x is None else "\n".join(y for k, y in enumerate(x.split("\n")) if str(k) not in gone.get(i, ()))) for i, x in enumerate(raw))
+
+
+def test_line_dedup_on_the_small_table(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    want = brute_similar(texts)
-    small = by_id(q.op2_line_dedup(spark, SMALL))
-    assert {i: r["similar"] for i, r in small.items()} == {i: want.get(i, "") for i, _ in texts}
+    rows = q.op2_line_dedup(spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    assert lines_found(rows) == brute_lines(texts)
+
+
+def test_line_dedup_repeated_ids(spark):
+    a, b = " ".join(WORDS[:9]), " ".join(WORDS[9:18])
+    rows = [(0, a), (1, b), (1, a.rsplit(" ", 1)[0] + " X"), (None, b + " y"), (2, a), (2, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r["doc"] is None else r["doc"], len(r["equal"]), len(r["near"])) for r in line_dedup.dropped_lines(docs).collect())
+    # the line of row b is near that of the null id; the altered one near that of row 0
+    assert got == [(-1, 0, 0), (0, 0, 0), (1, 0, 1), (1, 0, 1), (2, 1, 0), (2, 1, 0)]
+    assert line_dedup.dropped_lines(empty(spark)).count() == 0
 
 
 def test_within_edits():
@@ -177,7 +174,7 @@ def test_within_edits():
     for _ in range(400):
         a, b = (list(rng.choice([b"x", b"y", b"z"], rng.integers(0, 9))) for _ in range(2))
         d = edits(a, b)
-        assert [similar_lines.within_edits(a, b, k) for k in range(10)] == [d <= k for k in range(10)]
+        assert [line_dedup.within_edits(a, b, k) for k in range(10)] == [d <= k for k in range(10)]
 
 
 # ---------------------------------------------------------------------- WARC
@@ -311,6 +308,16 @@ def test_near_dedup(spark):
     assert len(rows) == 18
 
 
+def test_near_dedup_repeated_ids_and_whole_table(spark):
+    a, b = ([f"{x}{k}" for k in range(18)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, None), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (None, "x y"), (4, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got) == [(0, None, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = brute_near([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in q.op5_near_dedup(spark, SMALL).collect()} == want
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 2**63, 800, dtype=np.uint64)
