@@ -5,11 +5,11 @@ row for each; here a pack (some megabytes of texts) sends its distinct keys with
 counts as compressed vectors and gets an answer for each key back.  Packs are a
 table in the shared folder, so every pass sees the same ones whatever is retried.
 
-``exchange`` deals keys by their upper bits, FAN ways at a level.  One level
-serves ``most`` packs; beyond, groups of FAN packs merge their keys in a relay,
+``exchange`` deals keys by their upper bits, 256 ways at a level.  One level
+serves ``most`` packs; beyond, groups of 256 packs merge their keys in a relay,
 which takes part in the next level as a pack does.  So a pack or relay sends at
-most FAN messages however large the corpus is, and messages grow with the input
-times its logarithm (base FAN).
+most 256 messages however large the corpus is, and messages grow with the input
+times its logarithm to that base.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def by_dest(rows: DataFrame, f, schema: str = SCHEMA) -> DataFrame:
 # ------------------------------------------------------------------ exchange
 
 #: Bits of a key that a level deals by.
-FAN_BITS = 6
+FAN_BITS = 8
 
 
 class Entries:
@@ -187,11 +187,12 @@ def collapse(keys: np.ndarray, extra: list[np.ndarray] = (), counts: list[np.nda
         for x in (keys, *extra):
             x = x[order]
             new[1:] |= x[1:] != x[:-1]
-    at = order[new]
-    entry = np.empty(len(keys), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    low = [np.minimum.reduceat(x[order], np.flatnonzero(new)) if len(keys) else x for x in least]
-    return Entries(keys[at], [x[at] for x in extra], [np.bincount(entry, c, len(at)).astype(np.uint64) for c in counts], low), entry
+    first = np.flatnonzero(new)
+    at = order[first]
+    entry = np.empty(len(keys), np.int32)
+    entry[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    by = lambda f, x: f.reduceat(x[order], first) if len(keys) else x
+    return Entries(keys[at], [x[at] for x in extra], [by(np.add, x) for x in counts], [by(np.minimum, x) for x in least]), entry
 
 
 def _entries(body: bytes) -> Entries:
@@ -216,7 +217,7 @@ def read_entries(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Entries]]:
             yield dest, _entries(body.as_py())
 
 
-def levels(n_packs: int, most: int = 512, bits: int = FAN_BITS) -> int:
+def levels(n_packs: int, most: int = 256, bits: int = FAN_BITS) -> int:
     """Levels of an exchange between so many packs."""
     n = 1
     while n_packs > most:
@@ -244,7 +245,7 @@ def replied(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
 
 
-def exchange(packs: DataFrame, ask, answer, n_packs: int, notes: bool = False, level: int = 0, most: int = 512, bits: int = FAN_BITS) -> DataFrame:
+def exchange(packs: DataFrame, ask, answer, n_packs: int, notes: bool = False, level: int = 0, most: int = 256, bits: int = FAN_BITS) -> DataFrame:
     """Replies (dest: the pack, src, kind 1, body) to what packs ask.
 
     ask: from an iterator of batches of packs, (pack, Entries); answer: from all

@@ -49,27 +49,34 @@ def fold(doc_id: int | None, folds: int = 10) -> int:
     return HELD_OUT if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
-def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(keys of the 1-, 2-, ... grams that end at each token, first token of each document)."""
-    out: list[list[np.ndarray]] = [[] for _ in range(order)]
-    lens = []
-    for i, j in _text.pieces(np.diff(offs), 2 << 20):
-        _, _, ptr, h = _text.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], _text.NOT_SPACE)
-        n = np.diff(ptr) + 1
-        # order - 1 starts before and one end after each document's words
-        size = n + order - 1
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        doc = np.repeat(np.arange(j - i), size)
-        where = np.arange(len(doc)) - first[doc]
-        ext = np.where(where < order - 1, BOS, np.where(where == size[doc] - 1, END, U64(0)))
-        ext[(where >= order - 1) & (where < size[doc] - 1)] = h
-        token = np.flatnonzero(where >= order - 1)
-        for k in range(1, order + 1):
-            g = _text.combine(ext, k)[token - k + 1]
-            out[k - 1].append((g & ~KEPT[min(k, 2) - 1]) | U64(1 if k == 1 else 4 * k + 2))
-        lens.append(n)
-    n = np.concatenate(lens) if lens else np.zeros(0, np.int64)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out], np.concatenate([[0], np.cumsum(n)])
+def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the 1-, 2-, ... grams that end at each token, a row an order; first token of each document)."""
+    _, _, ptr, h = _text.words(data, offs, _text.NOT_SPACE)
+    n = np.diff(ptr) + 1
+    # order - 1 starts before and one end after each document's words
+    size = n + order - 1
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    doc = np.repeat(np.arange(len(n)), size)
+    where = np.arange(len(doc)) - first[doc]
+    ext = np.where(where < order - 1, BOS, np.where(where == size[doc] - 1, END, U64(0)))
+    ext[(where >= order - 1) & (where < size[doc] - 1)] = h
+    token = np.flatnonzero(where >= order - 1)
+    out = np.empty((order, len(token)), np.uint64)
+    for k in range(1, order + 1):
+        out[k - 1] = (_text.combine(ext, k)[token - k + 1] & ~KEPT[min(k, 2) - 1]) | U64(1 if k == 1 else 4 * k + 2)
+    return out, np.concatenate([[0], np.cumsum(n)])
+
+
+def slices(data: np.ndarray, offs: np.ndarray, limit: int = 2 << 20):
+    """(first document, last + 1, bytes, offsets): a pack is worked on slice by slice, to bound memory."""
+    for i, j in _text.pieces(np.diff(offs), limit):
+        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+def pack_keys(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    """The distinct keys of a pack, ascending."""
+    parts = [np.unique(grams(d, o, order)[0]) for _, _, d, o in slices(data, offs)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
 
 
 #: Buckets of one context length.
@@ -120,10 +127,16 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
 
     def ask(it):
         for pack, ids, null, offs, data in _packs.opened(it):
-            levels, ptr = grams(data, offs, order)
-            f = np.array([fold(None if z else i, folds) for i, z in zip(ids.tolist(), null.tolist(), strict=True)], np.int64)
-            kind = np.tile(np.repeat(np.where(f == HELD_OUT, 0, np.where(f == DELETED, 2, 1)), np.diff(ptr)), order)
-            yield pack, _packs.collapse(np.concatenate(levels), [], [kind == 1, kind == 2])[0]
+            keys = pack_keys(data, offs, order)
+            main, deleted = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+            for i, j, d, o in slices(data, offs):
+                levels, ptr = grams(d, o, order)
+                f = np.array([fold(None if z else x, folds) for x, z in zip(ids[i:j].tolist(), null[i:j].tolist(), strict=True)], np.int64)
+                f = np.repeat(f, np.diff(ptr))
+                for counts, own in ((deleted, f == DELETED), (main, (f != DELETED) & (f != HELD_OUT))):
+                    u, n = np.unique(levels[:, own], return_counts=True)
+                    counts[np.searchsorted(keys, u)] += n.astype(np.uint32)
+            yield pack, _packs.Entries(keys, [], [main, deleted])
 
     def answer(e):
         main, deleted = (c.astype(np.int64) for c in e.counts)
@@ -143,14 +156,17 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
     v, n_all, n_main, d_all, d_main = (int(x) for x in sums)
 
     def counted(rows):
-        """The pack's documents and, for every token, counts of its grams (all, deleted) by order."""
+        """Slices of the pack: documents (ids, null) and, for every token, counts of its grams (all, deleted) by order."""
         ids, null, offs, data = _packs.expand(rows[0][2])
-        levels, ptr = grams(data, offs, order)
-        inv = np.unique(np.concatenate(levels), return_inverse=True)[1]
-        all_, deleted = (c.astype(np.int64) for c in _packs.replied([body for _, kind, body in rows if kind == 2]))
-        n = ptr[-1]
-        split = lambda x: [x[inv[k * n : (k + 1) * n]] for k in range(order)]
-        return ids, null, ptr, split(all_), split(deleted)
+        keys = pack_keys(data, offs, order)
+        found = [c.astype(np.uint32) if c.max(initial=0) < 2**32 else c for c in _packs.replied([body for _, kind, body in rows if kind == 2])]
+        for i, j, d, o in slices(data, offs):
+            levels, ptr = grams(d, o, order)
+            u, inv = np.unique(levels, return_inverse=True)
+            place = np.searchsorted(keys, u)
+            del levels
+            inv = inv.reshape(order, -1)
+            yield ids[i:j], null[i:j], ptr, *[[c[place][inv[k]].astype(np.int64) for k in range(order)] for c in found]
 
     def estimates(counts, ptr, n_tokens, n_docs):
         """(row of the longest context that was seen, maximum-likelihood estimates of orders 1, 2, ...)."""
@@ -165,14 +181,13 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
         return row, ml
 
     def events(pack, rows):
-        ids, null, ptr, all_, deleted = counted(rows)
-        b, ml = estimates([a - d for a, d in zip(all_, deleted, strict=True)], ptr, n_main, d_main)
-        q = [np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300))), NONE).astype(np.int64) for p in ml]
-        code = b
-        for x in q:
-            code = (code << 15) | (x + (1 << 14))
-        cells, n = np.unique(code, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
+        for _, _, ptr, all_, deleted in counted(rows):
+            b, ml = estimates([a - d for a, d in zip(all_, deleted, strict=True)], ptr, n_main, d_main)
+            code = b
+            for p in ml:
+                code = (code << 15) | (np.where(p > 0, np.round(4 * np.log2(np.maximum(p, 1e-300))), NONE).astype(np.int64) + (1 << 14))
+            cells, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
 
     asked = packs.unionByName(replies.where("kind = 1").withColumn("kind", F.lit(2)))
     # at most SPAN * order rows times the estimates' quarter octaves, however large the corpus
@@ -187,21 +202,20 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
         weights = np.tile(np.eye(1, order + 1), (SPAN * order, 1))
 
     def finish(pack, rows):
-        ids, null, ptr, all_, _ = counted(rows)
-        b, ml = estimates(all_, ptr, n_all, d_all)
-        w = weights[b]
-        prob = w[:, 0] * uniform
-        for k in range(order):
-            prob += w[:, k + 1] * ml[k]
-        base = np.log10((all_[0] + 0.1) / (n_all + 0.1 * (v + 1)))
-        per = lambda x: np.add.reduceat(x, ptr[:-1])
-        mask = null.astype(bool)
-        held = [not z and fold(i, folds) == HELD_OUT for i, z in zip(ids.tolist(), mask.tolist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64(), mask=mask), "held_out": pa.array(held), "n_tokens": pa.array(np.diff(ptr), pa.int64()),
-            "n_known": pa.array(per((all_[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ids), n_all), pa.int64()),
-            "base_score": pa.array(per(base)), "score": pa.array(per(np.log10(prob))),
-        })
+        for ids, null, ptr, all_, _ in counted(rows):
+            b, ml = estimates(all_, ptr, n_all, d_all)
+            prob = weights[b, 0] * uniform
+            for k in range(order):
+                prob += weights[b, k + 1] * ml[k]
+            base = np.log10((all_[0] + 0.1) / (n_all + 0.1 * (v + 1)))
+            per = lambda x, ptr=ptr: np.add.reduceat(x, ptr[:-1])
+            mask = null.astype(bool)
+            held = [not z and fold(i, folds) == HELD_OUT for i, z in zip(ids.tolist(), mask.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids, pa.int64(), mask=mask), "held_out": pa.array(held), "n_tokens": pa.array(np.diff(ptr), pa.int64()),
+                "n_known": pa.array(per((all_[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ids), n_all), pa.int64()),
+                "base_score": pa.array(per(base)), "score": pa.array(per(np.log10(prob))),
+            })
 
     return _packs.by_dest(asked, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -9,10 +9,10 @@ Equal lines collapse first (by a 128-bit BLAKE2b digest), combined on the map
 side.  A distinct line below 20 words emits its deletion neighbourhood: itself
 and itself without each of its words, as hashed keys; two lines within one edit
 share a variant.  For larger bounds the neighbourhood explodes, so a longer line
-emits what no edit within the bound can destroy altogether: an edit touches at
-most three of a line's word triples, so of lines within k edits the 3k + 1
-triples that come first in an order common to all lines have one in common (a
-triple that repeats in a line is told apart by its number).
+emits what the edits within its bound cannot destroy altogether: k edits leave a
+run of at least (n - k) / (k + 1) words, which is 6 for n = 20 and 7 or more
+beyond, so of every 3 consecutive five-word grams (2 up to 20 words) the one with
+the smallest hash is a key; lines that share such a run share one.
 
 Packs of distinct lines ask which of their keys another line has too
 (``_packs.exchange``); only lines with such a key go on as rows.  A line first
@@ -43,6 +43,8 @@ LINE = np.ones(256, bool)
 LINE[10] = False
 #: Fewest words of the longer of two lines within one edit, and within more.
 SHORT, LONG = 5, 20
+#: Words of the grams that long lines are looked up by.
+GRAM = 5
 
 
 def edit_bound(n: int) -> int:
@@ -105,8 +107,8 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, key) of the deletion neighbourhood of each line: the whole line (place -1) and it without a word."""
+def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the deletion neighbourhood of each line: the whole line and it without a word."""
     n = np.diff(ptr)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(wh)) - ptr[:-1][row]
@@ -116,34 +118,28 @@ def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(n[row] >= SHORT)
     r = row[at]
     less = finish((own[at] - own[ptr[:-1][r]]) + (moved[ptr[1:][r]] - moved[at + 1]), n[r] - 1)
-    return np.concatenate([np.arange(len(n)), r]), np.concatenate([np.full(len(n), -1), place[at]]), np.concatenate([whole, less])
-
-
-def triple_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, key) of the first triples of each line, in the common order."""
-    n = last - first
-    size = np.maximum(n - 2, 0)
-    row = np.repeat(np.arange(len(n)), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    h = _text.combine(wh, 3)[first[row] + place] if len(row) else np.zeros(0, np.uint64)
-    by = np.lexsort((place, h, row))
-    row, place, h = row[by], place[by], h[by]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(row)]
-    at = np.arange(len(row))
-    number = at - np.maximum.accumulate(np.where(new, at, 0)) if len(row) else at
-    key = _text.mix(h + number.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
-    by = np.lexsort((key, row))
-    row, place, key = row[by], place[by], key[by]
-    start = np.cumsum(size) - size
-    # a line of n words can be the shorter of a pair within n // 9 edits
-    keep = np.arange(len(row)) - start[row] < 3 * (n[row] // 9) + 1
-    return row[keep], place[keep], key[keep]
+    return np.concatenate([np.arange(len(n)), r]), np.concatenate([whole, less])
+
+
+def run_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the smallest of consecutive five-word grams of each line."""
+    h = _text.combine(wh, GRAM)
+    picked = np.zeros(len(h), bool)
+    for w, own in ((3, last - first > LONG), (2, last - first <= LONG)):
+        n = np.maximum(last - first - GRAM + 1 - w + 1, 0) * own
+        i = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        if len(i):
+            picked[i + np.stack([h[i + k] for k in range(w)]).argmin(axis=0)] = True
+    at = np.flatnonzero(picked)
+    row = np.searchsorted(first, at, "right") - 1
+    return row, at - first[row], h[at]
 
 
 def line_keys(data: np.ndarray, offs: np.ndarray):
     """(words of each line, parities of its words, line of each key, its place, key), no key twice in a line.
 
-    48 bits of each key: lines that agree in them are candidates, no more.
+    A key that a line has at several places has the place -1.  48 bits of each key:
+    lines that agree in them are candidates, no more.
     """
     _, _, ptr, wh = _text.words(data, offs, _text.NOT_SPACE, lower=False)
     n = np.diff(ptr)
@@ -156,18 +152,19 @@ def line_keys(data: np.ndarray, offs: np.ndarray):
     if len(short):
         sp = np.concatenate([[0], np.cumsum(n[short])])
         at = np.repeat(ptr[:-1][short] - sp[:-1], n[short]) + np.arange(sp[-1])
-        row, place, key = variant_keys(wh[at], sp)
-        found.append((short[row], place, key & ~U64(1 << 16)))
+        row, key = variant_keys(wh[at], sp)
+        found.append((short[row], np.full(len(row), -1), key & ~U64(1 << 16)))
     long = np.flatnonzero(n >= LONG - LONG // 10)
     if len(long):
-        row, place, key = triple_keys(wh, ptr[:-1][long], ptr[1:][long])
+        row, place, key = run_keys(wh, ptr[:-1][long], ptr[1:][long])
         found.append((long[row], place, key | U64(1 << 16)))
     row, place, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     key = key & ~U64(0xFFFF)
-    by = np.lexsort((place, key, row))
+    by = np.lexsort((key, row))
     row, place, key = row[by], place[by], key[by]
     keep = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
-    return n, parity, row[keep], place[keep], key[keep]
+    many = np.diff(np.append(np.flatnonzero(keep), len(row))) > 1
+    return n, parity, row[keep], np.where(many, -1, place[keep]), key[keep]
 
 
 # --------------------------------------------------------------------- packs
@@ -281,8 +278,7 @@ def near_lines(cand: DataFrame) -> DataFrame:
         more = F.col(f"{a}l.n") - F.col(f"{b}l.n")
         odd = sum(F.bit_count(F.col(f"{a}l.{p}").bitwiseXOR(F.col(f"{b}l.{p}"))) for p in ("p0", "p1"))
         earlier = F.struct(*[f"{b}l.{c}" for c in order]) < F.struct(*[f"{a}l.{c}" for c in order])
-        # places of deletions say nothing about lines of one edit
-        moved = (longer < LONG) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
+        moved = (F.col(f"{a}place") < 0) | (F.col(f"{b}place") < 0) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
         return earlier & (F.abs(more) <= bound) & moved & (odd <= 2 * bound)
 
     def verified(pairs):
