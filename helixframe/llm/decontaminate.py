@@ -79,11 +79,11 @@ class FMIndex:
         self.samples = sa[self.marked]
         self.n = len(t)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals of the patterns (one a row)."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, j]
+    def search(self, symbols: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals of the patterns symbols[at : at + length]."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
+        for j in range(length - 1, -1, -1):
+            c = symbols[at + j].astype(np.int64)
             lo, hi = self.before[c] + self.tree.rank(c, lo), self.before[c] + self.tree.rank(c, hi)
         return lo, np.maximum(lo, hi)
 
@@ -100,37 +100,52 @@ class FMIndex:
 
 
 class Patterns:
-    """Distinct windows of the benchmark, by length, and the items that each belongs to."""
+    """Distinct windows of the benchmark, by length, and the items that each belongs to.
+
+    The benchmark stands here once, as symbols; a window is the place of its first word.
+    Some 20 bytes a word: no more than 10 for each byte of text.
+    """
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        _, _, ptr, h = _text.words(*_text.buffers(pa.array(texts, pa.string())), _text.ALNUM)
-        self.vocabulary, symbols = np.unique(h, return_inverse=True)
-        symbols = symbols.astype(np.int64) + 2  # 0 ends the text, 1 separates
+        data, offs = _text.buffers(pa.array(texts, pa.string()))
+        data = _text.LOWER[data]
+        s, e, ptr = _text.spans(data, offs, _text.ALNUM)
+        h0, h1 = _text.range_digest(data, s, e)
+        self.vocabulary, first, symbols = np.unique(h0, return_index=True, return_inverse=True)
+        self.second = h1[first]
+        if (self.second[symbols] != h1).any():
+            raise ValueError("two words of the benchmark share a hash")
+        symbols = (symbols + 2).astype(np.int32)  # 0 ends the text, 1 separates
         by_len: dict[int, list] = {}
         for i in range(len(ids)):
-            s = symbols[ptr[i] : ptr[i + 1]]
-            if len(s):
-                n = min(window, len(s))
-                w = np.lib.stride_tricks.sliding_window_view(s, n)
-                by_len.setdefault(n, []).append((w, np.full(len(w), i)))
-        self.ids, self.groups = ids, []
+            n = min(window, int(ptr[i + 1] - ptr[i]))
+            if n:
+                at = np.arange(ptr[i], ptr[i + 1] - n + 1)
+                by_len.setdefault(n, []).append((at, np.full(len(at), i, np.int32)))
+        self.ids, self.symbols, self.groups = ids, symbols, []
         for n, parts in sorted(by_len.items()):
-            w, inv = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
-            item = np.concatenate([p[1] for p in parts])
+            at, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, one, inv = np.unique(np.lib.stride_tricks.sliding_window_view(symbols, n)[at], axis=0, return_index=True, return_inverse=True)
             order = np.argsort(inv.reshape(-1), kind="stable")
-            self.groups.append((n, w, item[order], np.searchsorted(inv.reshape(-1)[order], np.arange(len(w) + 1))))
+            self.groups.append((n, at[one].astype(np.int32), item[order], np.searchsorted(inv.reshape(-1)[order], np.arange(len(one) + 1)).astype(np.int32)))
         self.shortest = min(by_len, default=0)
 
+    def known(self, h0: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the vocabulary, whether it is that word) of words' digests."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h0), len(self.vocabulary) - 1)
+        return at, (self.vocabulary[at] == h0) & (self.second[at] == h1)
+
 
 def search_shard(p: Patterns, data: np.ndarray, offs: np.ndarray):
     """(words of each document, hit flag of each word, first word of each document, word starts, word ends, (doc, item) pairs)."""
-    starts, ends, ptr, h = _text.words(data, offs, _text.ALNUM)
+    data = _text.LOWER[data]
+    starts, ends, ptr = _text.spans(data, offs, _text.ALNUM)
+    h, second = _text.range_digest(data, starts, ends)
     n_docs = len(offs) - 1
     hit = np.zeros(len(h) + 1, np.int64)
     pairs = np.zeros((0, 2), np.int64)
     if p.groups and len(h):
-        at = np.minimum(np.searchsorted(p.vocabulary, h), len(p.vocabulary) - 1)
-        known = p.vocabulary[at] == h
+        at, known = p.known(h, second)
         first = np.zeros(len(h), bool)
         first[ptr[:-1][ptr[:-1] < len(h)]] = True
         begin = known & (first | ~np.concatenate([[False], known[:-1]]))
@@ -146,7 +161,7 @@ def search_shard(p: Patterns, data: np.ndarray, offs: np.ndarray):
             doc_of = np.searchsorted(ptr, np.arange(len(h)), "right") - 1
             found = []
             for n, w, items, item_at in p.groups:
-                lo, hi = fm.search(w)
+                lo, hi = fm.search(p.symbols, w, n)
                 count = hi - lo
                 which = np.repeat(np.arange(len(w)), count)
                 if not len(which):
@@ -173,10 +188,11 @@ def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _find(docs: DataFrame, p: Patterns, shard_bytes: int) -> DataFrame:
+def _find(docs: DataFrame, patterns, shard_bytes: int) -> DataFrame:
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
 
     def run(it):
+        p = patterns.value
         for b, data, offs in _text.batches(it, "text", shard_bytes):
             n_words, hit, ptr, starts, ends, pairs, n = search_shard(p, data, offs)
             spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
@@ -212,11 +228,12 @@ def _merge(found: DataFrame) -> DataFrame:
     return per.mapInArrow(run, SCHEMA)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, max_item_bytes: int = 32 << 20) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, max_item_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, removal spans (words [first, last), bytes [start, end)) and the items found, per document.
 
-    The benchmark travels to every task, so its size is checked: beyond
-    ``max_item_bytes`` it is searched in parts and the parts' spans are merged.
+    The benchmark is broadcast, so its size is checked: beyond ``max_item_bytes``
+    (80 MB of patterns at most) it is searched in parts, each in a pass over the
+    documents, and the parts' spans are merged.
     """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-_shared.text_bytes(bench) // max_item_bytes))
@@ -227,7 +244,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shar
     for k in range(parts):
         own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else bench
         rows = own.collect()
-        p = Patterns([r["item_id"] for r in rows], [r["text"] for r in rows], window)
+        p = docs.sparkSession.sparkContext.broadcast(Patterns([r["item_id"] for r in rows], [r["text"] for r in rows], window))
         if parts == 1:
             return _find(src, p, shard_bytes)
         # the row number stands in for doc_id on the way

@@ -5,8 +5,11 @@ of a line is linear in its own features and its neighbours', the chain adds
 transition potentials.  A document's label stands for its lines in training.
 Forward-backward marginals, weighted by line length, give a document's quality.
 
-The model is fitted on at most ``max_docs`` labelled rows (those with the
-smallest hash of doc_id), a documented bound; scoring reads every whole text.
+The model is fitted on at most ``max_docs`` labelled documents (those with the
+smallest hash of doc_id), as many of them as have ``max_lines`` lines together; a
+document that alone has more is left out.  Lines are counted before their
+features travel to the driver, so that no more than those come.  Scoring reads
+every whole text.
 
 Nulls and texts without a non-blank line score the share of good documents
 among the training rows.  Labels that are null are ignored; conflicting labels
@@ -168,24 +171,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
     spark = docs.sparkSession
     y = {r["doc_id"]: r["y"] for r in rows}
     share = sum(y.values()) / len(y)
-    wanted = spark.createDataFrame([(k,) for k in y], "doc_id long")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id", "left_semi")
+    only = lambda ids: F.broadcast(spark.createDataFrame([(k,) for k in ids], "doc_id long"))  # noqa: E731  max_docs rows at most
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(only(y), "doc_id", "left_semi")
+    src = _shared.store(src, "labelled")
+
+    def count(it):
+        for b, data, offs in _text.batches(it, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(line_features(data, offs)[2]), pa.int64())], names=["doc_id", "n"])
 
     def run(it):
         for b, data, offs in _text.batches(it, "text"):
             x, _, ptr = line_features(data, offs)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[i:j].tobytes() for i, j in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "x"])
 
-    got = src.mapInArrow(run, "doc_id long, x binary").collect()
-    got = sorted(((r["doc_id"], bytes(r["x"])) for r in got if r["x"]), key=lambda r: (hash(r[0] * 0x9E3779B97F4A7C15 % 2**61), r))
-    xs, ys, total = [], [], 0
-    for d, raw in got:
-        x = np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES)
-        if total + len(x) > max_lines and xs:
-            break
-        xs.append(x)
-        ys.append(y[d])
-        total += len(x)
+    sizes = {r["doc_id"]: r["n"] for r in src.mapInArrow(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    chosen, total = [], 0
+    for d in (r["doc_id"] for r in rows):
+        n = sizes.get(d, 0)
+        if n and n <= max_lines and total + n <= max_lines:
+            chosen.append(d)
+            total += n
+    got = src.join(only(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x binary").collect() if chosen else []
+    place = {d: k for k, d in enumerate(chosen)}
+    got = sorted((place[r["doc_id"]], r["doc_id"], bytes(r["x"])) for r in got if r["x"])
+    xs = [np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES) for _, _, raw in got]
+    ys = [y[d] for _, d, _ in got]
+    _shared.drop(src)
     if not ys or min(ys) == max(ys):
         return Crf(share)
     return Crf(share).fit(np.concatenate(xs), np.concatenate([[0], np.cumsum([len(x) for x in xs])]), np.array(ys))

@@ -400,7 +400,7 @@ def test_fm_index_counts_and_places():
     fm = decontaminate.FMIndex(t, 5)
     for m in (1, 3, 6):
         pats = rng.integers(1, 5, (40, m))
-        lo, hi = fm.search(pats)
+        lo, hi = fm.search(pats.reshape(-1), np.arange(40) * m, m)
         for p, a, b in zip(pats, lo, hi, strict=True):
             want = [i for i in range(len(t) - m + 1) if (t[i : i + m] == p).all()]
             assert sorted(fm.locate(np.arange(a, b)).tolist()) == want
