@@ -331,25 +331,62 @@ def test_odd_sketch_estimates():
 # -------------------------------------------------------------------- mixing
 
 
-def test_mixing(spark):
+def brute_targets(docs):
+    """doc_id -> (size, size of its source, target of its source)."""
+    size, per = {}, Counter()
+    for i, x, source in docs:
+        size[i] = len(SPLIT.findall(x or ""))
+        per[source] += size[i]
+    order = sorted(per, key=lambda v: (v is None, v or ""))
+    weight = {v: (3, 1, 2)[k % 3] for k, v in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(per.values()), set(order)
+    while open_:
+        level = left / sum(weight[v] for v in open_)
+        full = {v for v in open_ if level * weight[v] > 2 * per[v]}
+        for v in full or open_:
+            target[v] = 2.0 * per[v] if full else level * weight[v]
+            left -= target[v]
+        open_ -= full or open_
+    return {i: (size[i], per[source], target[source]) for i, _, source in docs}
+
+
+def test_mixing_query(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = brute_targets([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    rows = by_id(q.op6_mixing(spark, SMALL))
+    assert rows.keys() == want.keys()
+    taken = Counter()
+    for i, r in rows.items():
+        assert (r["size"], r["source_size"]) == want[i][:2] and math.isclose(r["target"], want[i][2]) and r["taken"] <= 2 * r["size"]
+        taken[source[i]] += r["taken"]
+    assert all(abs(taken[source[i]] - w[2]) <= 1 for i, w in want.items())
+    assert {i: r["taken"] for i, r in by_id(q.op6_mixing(spark, SMALL)).items()} == {i: r["taken"] for i, r in rows.items()}
+
+
+@pytest.mark.parametrize("max_decks", [4096, 1])
+def test_mixing(spark, max_decks):
     docs, raw = odd_docs(spark, [" ".join(WORDS) * 40 for _ in range(12)])
-    units, sizes, per = mixing.mix(docs, block_words=50, n_shards=5)
+    how = dict(block_words=50, shard_blocks=30, max_decks=max_decks)
+    shards, sizes, per = mixing.mix(docs, **how)
     t = {r["sk"]: r for r in per.collect()}
     total = sum(len(words(x)) for x in raw)
     assert math.isclose(sum(r["target"] for r in t.values()), 1.5 * total)
     size = {r["doc_id"]: (r["sk"], r["size"]) for r in sizes.collect()}
-    rows = units.collect()
-    taken, by_source, shards = Counter(), Counter(), Counter()
+    rows = shards.collect()
+    taken, by_source, number, mixed = Counter(), Counter(), Counter(), {}
     for r in rows:
         taken[r["doc_id"]] += r["words"]
         by_source[size[r["doc_id"]][0]] += r["words"]
-        shards[r["shard"]] += 1
+        number[r["shard"]] += 1
+        mixed.setdefault(r["shard"], []).append(r["ord_in_shard"])
     assert all(taken[d] <= 2 * n for d, (_, n) in size.items())
     assert all(abs(by_source[k] - r["target"]) <= 1 for k, r in t.items())
-    assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == 5
-    again = mixing.mix(docs.repartition(2), block_words=50, n_shards=5)[0].collect()
+    assert max(number.values()) - min(number.values()) <= 1 and len(number) == -(-len(rows) // 30) > 3
+    assert all(x == sorted(x) for x in mixed.values())
+    again = mixing.mix(docs.repartition(2), **how)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
-    text = mixing.take_text(docs, units, 50)
+    text = mixing.take_text(docs, shards, 50)
     assert text.columns == docs.columns
     got = Counter()
     for r in text.collect():
@@ -358,6 +395,34 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark))[0].count() == 0
 
 
+def test_mixing_repeated_rows(spark):
+    x = " ".join(WORDS * 5)
+    docs = spark.createDataFrame([(1, x, "a"), (1, x, "a"), (1, x, "b"), (None, x, None), (None, x, None), (2, None, "b")], "doc_id long, text string, source string")
+    shards, sizes, per = mixing.mix(docs, block_words=30)
+    assert sizes.count() == 6 and shards.agg({"words": "sum"}).first()[0] == round(sum(r["target"] for r in per.collect()))
+    rows = mixing.take_text(docs, shards, 30).collect()
+    assert sum(len(words(r["text"])) for r in rows) == shards.agg({"words": "sum"}).first()[0]
+
+
+def test_split_tree_and_large_draws():
+    counts = np.array([1000, 10, 0, 390])
+    tree = mixing.SplitTree(counts, 7, 3)
+    deck = np.repeat(np.arange(4), counts)
+    place = np.concatenate([np.arange(n) for n in counts])
+    shard = tree.assign(deck, place)
+    assert sorted(np.bincount(shard).tolist()) == [200] * 7
+    # a shard has a run of each deck, and its share of it within the law's spread
+    for d in (0, 3):
+        assert (np.diff(shard[deck == d]) >= 0).all()
+        n = np.bincount(shard[deck == d], minlength=7)
+        assert abs(n - counts[d] / 7).max() < 40
+    rng = np.random.default_rng(1)
+    big = np.array([mixing.hypergeometric(rng, 3 * 10**9, 10**9, 10**6) for _ in range(60)])
+    sd = (10**6 * 0.75 * 0.25) ** 0.5
+    assert abs(big.mean() - 750_000) < 5 * sd / 60**0.5 and 0.6 * sd < big.std() < 1.5 * sd
+    assert mixing.hypergeometric(rng, 2 * 10**9, 0, 5) == 5 and mixing.hypergeometric(rng, 0, 2 * 10**9, 5) == 0
+
+
 # ------------------------------------------------------------ decontamination
 
 
