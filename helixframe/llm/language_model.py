@@ -73,10 +73,12 @@ def slices(data: np.ndarray, offs: np.ndarray, limit: int = 2 << 20):
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def pack_keys(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
-    """The distinct keys of a pack, ascending."""
-    parts = [np.unique(grams(d, o, order)[0]) for _, _, d, o in slices(data, offs)]
-    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+def merged_keys(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of slices that each have theirs in order (a merge of sorted runs)."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = np.sort(np.concatenate(parts), kind="stable")
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
 
 
 #: Buckets of one context length.
@@ -127,15 +129,21 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
 
     def ask(it):
         for pack, ids, null, offs, data in _packs.opened(it):
-            keys = pack_keys(data, offs, order)
-            main, deleted = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+            parts = []
             for i, j, d, o in slices(data, offs):
                 levels, ptr = grams(d, o, order)
                 f = np.array([fold(None if z else x, folds) for x, z in zip(ids[i:j].tolist(), null[i:j].tolist(), strict=True)], np.int64)
                 f = np.repeat(f, np.diff(ptr))
-                for counts, own in ((deleted, f == DELETED), (main, (f != DELETED) & (f != HELD_OUT))):
-                    u, n = np.unique(levels[:, own], return_counts=True)
-                    counts[np.searchsorted(keys, u)] += n.astype(np.uint32)
+                u, inv = np.unique(levels, return_inverse=True)
+                del levels
+                inv = inv.reshape(order, -1)
+                parts.append((u, *[np.bincount(inv[:, own].reshape(-1), minlength=len(u)).astype(np.uint32) for own in ((f != DELETED) & (f != HELD_OUT), f == DELETED)]))
+            keys = merged_keys([p[0] for p in parts])
+            main, deleted = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+            for u, m, d in parts:
+                at = np.searchsorted(keys, u)
+                main[at] += m
+                deleted[at] += d
             yield pack, _packs.Entries(keys, [], [main, deleted])
 
     def answer(e):
@@ -158,15 +166,17 @@ def score_documents(docs: DataFrame, order: int = 3, folds: int = 10, pack_bytes
     def counted(rows):
         """Slices of the pack: documents (ids, null) and, for every token, counts of its grams (all, deleted) by order."""
         ids, null, offs, data = _packs.expand(rows[0][2])
-        keys = pack_keys(data, offs, order)
-        found = [c.astype(np.uint32) if c.max(initial=0) < 2**32 else c for c in _packs.replied([body for _, kind, body in rows if kind == 2])]
+        parts = []
         for i, j, d, o in slices(data, offs):
             levels, ptr = grams(d, o, order)
             u, inv = np.unique(levels, return_inverse=True)
-            place = np.searchsorted(keys, u)
-            del levels
-            inv = inv.reshape(order, -1)
-            yield ids[i:j], null[i:j], ptr, *[[c[place][inv[k]].astype(np.int64) for k in range(order)] for c in found]
+            parts.append((i, j, ptr, u, inv.reshape(order, -1).astype(np.int32)))
+            del levels, inv
+        keys = merged_keys([p[3] for p in parts])
+        found = [c.astype(np.uint32) if c.max(initial=0) < 2**32 else c for c in _packs.replied([body for _, kind, body in rows if kind == 2])]
+        for i, j, ptr, u, inv in parts:
+            at = np.searchsorted(keys, u)
+            yield ids[i:j], null[i:j], ptr, *[[c[at][inv[k]].astype(np.int64) for k in range(order)] for c in found]
 
     def estimates(counts, ptr, n_tokens, n_docs):
         """(row of the longest context that was seen, maximum-likelihood estimates of orders 1, 2, ...)."""
