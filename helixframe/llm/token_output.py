@@ -36,6 +36,12 @@ BLOCK_HEAD = struct.Struct("<IBBHI")  # minimum, width, 0, exceptions, ids
 # ---------------------------------------------------------------- tokenizing
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges, one after another."""
+    n = ends - starts
+    return data[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
 class PieceTokenizer:
     """A byte-level BPE tokenizer behind a table of pieces already encoded.
 
@@ -58,7 +64,7 @@ class PieceTokenizer:
 
     LONGEST = 64
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +138,8 @@ class PieceTokenizer:
         return flat, n
 
     def _encode_pieces(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        flat, n = self._encode([data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        raw, edge = _gather(data, starts, ends).tobytes(), np.concatenate([[0], np.cumsum(ends - starts)]).tolist()
+        flat, n = self._encode([raw[a:b].decode() for a, b in zip(edge[:-1], edge[1:], strict=True)])
         own = np.concatenate([[0], np.cumsum(self.width[flat])])
         edge = np.concatenate([[0], np.cumsum(n)])
         if not np.array_equal(own[edge[1:]] - own[edge[:-1]], ends - starts):
@@ -181,7 +188,7 @@ class PieceTokenizer:
             self.at = np.append(self.at, self.at[-1] + np.cumsum(count))
             self.byte = np.append(self.byte, self.byte[-1] + np.cumsum(ends[first] - starts[first]))
             self.ids = np.append(self.ids, flat)
-            self.raw = np.concatenate([self.raw, *[data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]])
+            self.raw = np.append(self.raw, _gather(data, starts[first], ends[first]))
             self._insert(new, (base + np.arange(len(new))).astype(np.int32))
             entry[miss] = self._find(h[miss], data, starts[miss], ends[miss])
             rest = miss[entry[miss] < 0]
