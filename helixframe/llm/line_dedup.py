@@ -208,21 +208,22 @@ def line_packs(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
             words, offs = _text.buffers(t.column("words"))
             number = lambda c: t.column(c).fill_null(0).to_numpy()
             null = np.asarray(t.column("doc").is_null()).astype(np.uint8)
-            return _packs.batch([(part << 32 | seq, t.num_rows, 0, _packs.squeeze(np.ascontiguousarray(lh).view(np.uint64), number("doc"), null, number("rk"), number("line"), offs, words, level=3))])
+            return _packs.batch([(part << 22 | seq, t.num_rows, 0, _packs.squeeze(np.ascontiguousarray(lh).view(np.uint64), number("doc"), null, number("rk"), number("line"), offs, words, level=3))])
 
         for b, data, _ in _text.batches(it, "words", 1 << 20):
-            if size and size + len(data) > pack_bytes:
+            # a line takes 9 bytes here at least, so that its number in the pack has 20 bits
+            if size and size + len(data) + 9 * b.num_rows > pack_bytes:
                 yield flush(held)
                 held, size, seq = [], 0, seq + 1
             held.append(b)
-            size += len(data)
+            size += len(data) + 9 * b.num_rows
         if held:
             yield flush(held)
 
     return _shared.store(per.mapInArrow(run, _packs.SCHEMA), "line-packs")
 
 
-CANDIDATE = "lh binary, doc long, rk long, line long, n long, p0 long, p1 long, keys array<long>, places array<long>, words binary"
+CANDIDATE = "id long, lh binary, doc long, rk long, line long, n long, p0 long, p1 long, keys array<long>, places array<long>, words binary"
 
 
 def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
@@ -254,7 +255,7 @@ def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
         raw = words.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n[own], pa.int64()), *[pa.array(p[own]) for p in parity],
+                pa.array(pack << 20 | own), pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n[own], pa.int64()), *[pa.array(p[own]) for p in parity],
                 *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, place)], pa.array([raw[offs[k] : offs[k + 1]] for k in own.tolist()], pa.binary()),
             ],
             names=[x.strip().split(" ")[0] for x in CANDIDATE.split(",")],
@@ -264,44 +265,46 @@ def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
 
 
 def near_lines(cand: DataFrame) -> DataFrame:
-    """lh of the candidates that have an earlier line within the bound."""
-    order = ("doc", "rk", "line")
-    texts = cand.select("lh", "words")
-    keys = cand.select(F.struct(*order, "lh", "n", "p0", "p1").alias("l"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    keys = keys.select("l", F.col("k.keys").alias("key"), F.col("k.places").cast("long").alias("place"))
+    """id of the candidates that have an earlier line within the bound."""
+    whole = cand.select("id", F.struct("doc", "rk", "line").alias("o"), "p0", "p1", "words")
+    # rows of keys are many: they have no more than what rules most pairs out
+    keys = cand.select("id", "doc", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keys = keys.select("id", "doc", "n", F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"))
 
     def possible(a, b):
-        """Whether b is earlier than a and lengths, places and parities allow the bound."""
-        longer = F.greatest(F.col(f"{a}l.n"), F.col(f"{b}l.n"))
+        """Whether b may be earlier than a, and lengths and places allow the bound."""
+        n = {x: F.col(f"{x}n") for x in (a, b)}
+        longer = F.greatest(*n.values())
         bound = F.when(longer < SHORT, 0).otherwise(F.greatest(F.lit(1), F.floor(longer / 10)))
         off = F.col(f"{a}place") - F.col(f"{b}place")
-        more = F.col(f"{a}l.n") - F.col(f"{b}l.n")
-        odd = sum(F.bit_count(F.col(f"{a}l.{p}").bitwiseXOR(F.col(f"{b}l.{p}"))) for p in ("p0", "p1"))
-        earlier = F.struct(*[f"{b}l.{c}" for c in order]) < F.struct(*[f"{a}l.{c}" for c in order])
+        more = n[a] - n[b]
         moved = (F.col(f"{a}place") < 0) | (F.col(f"{b}place") < 0) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
-        return earlier & (F.abs(more) <= bound) & moved & (odd <= 2 * bound)
+        earlier = F.struct(f"{b}doc") <= F.struct(f"{a}doc")
+        return (F.col(f"{a}id") != F.col(f"{b}id")) & earlier & (F.abs(more) <= bound) & moved
 
     def verified(pairs):
-        """lh of the pairs (lh, by) within the bound."""
-        p = pairs.distinct().join(texts.select("lh", F.col("words").alias("a")), "lh").join(texts.select(F.col("lh").alias("by"), F.col("words").alias("b")), "by").select("lh", "a", "b")
+        """id of the later line of each pair (a, b) within the bound."""
+        side = lambda x: whole.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "p0", "p1", "words")])
+        odd = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p1"))
+        p = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.col("b_o") < F.col("a_o")).select("a", "a_words", "b_words", odd.alias("odd"))
 
         def run(it):
             for r in it:
                 ok = []
-                for x, y in zip(r.column(1), r.column(2), strict=True):
+                for x, y, d in zip(r.column(1), r.column(2), r.column(3).to_pylist(), strict=True):
                     a, b = x.as_py().split(), y.as_py().split()
-                    ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
-                yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["lh"])
-
-        return p.mapInArrow(run, "lh binary").distinct()
-
-    firsts = keys.groupBy("key").agg(F.min(F.struct("l", "place")).alias("o")).select("key", F.col("o.l").alias("bl"), F.col("o.place").alias("bplace"))
-    mine = keys.select("key", F.col("l").alias("al"), F.col("place").alias("aplace"))
-    pair = [F.col("al.lh").alias("lh"), F.col("bl.lh").alias("by")]
-    found = _shared.store(verified(mine.join(firsts, "key").where(possible("a", "b")).select(*pair)), "near-first")
-    left = mine.withColumn("lh", F.col("al.lh")).join(found, "lh", "left_anti").drop("lh")
-    theirs = keys.select("key", F.col("l").alias("bl"), F.col("place").alias("bplace"))
-    rest = verified(left.join(theirs, "key").where(possible("a", "b")).select(*pair))
+                    bound = edit_bound(max(len(a), len(b)))
+                    ok.append(d <= 2 * bound and within_edits(a, b, bound))
+                yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["id"])
+
+        return p.mapInArrow(run, "id long").distinct()
+
+    named = lambda x: keys.select("key", *[F.col(c).alias(x + c) for c in ("id", "doc", "n", "place")])
+    firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "id", "n", "place")).alias("o")).select("key", *[F.col(f"o.{c}").alias(f"b{c}") for c in ("id", "doc", "n", "place")])
+    pair = [F.col("aid").alias("a"), F.col("bid").alias("b")]
+    found = _shared.store(verified(named("a").join(firsts, "key").where(possible("a", "b")).select(*pair)), "near-first")
+    left = named("a").join(found.select(F.col("id").alias("aid")), "aid", "left_anti")
+    rest = verified(left.join(named("b"), "key").where(possible("a", "b")).select(*pair))
     return _shared.store(found.unionByName(rest), "near-lines")
 
 
@@ -320,13 +323,12 @@ def dropped_lines(docs: DataFrame, pack_bytes: int = 8 << 20, **dealt: int) -> D
     def places(it):
         for b in it:
             for body in b.column(3):
-                lh, doc, null, rk, line, *_ = _packs.expand(body.as_py())
-                lh = lh.reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lh], pa.binary()), pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(rk), pa.array(line)], names=["lh", "doc", "rk", "line"])
+                _, doc, null, rk, line, *_ = _packs.expand(body.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(rk), pa.array(line)], names=["doc", "rk", "line"])
 
     # lines that are the first of their kind, by document, and those of them that are near an earlier one
-    first = packs.mapInArrow(places, "lh binary, doc long, rk long, line long").groupBy("doc", "rk").agg(F.collect_list("line").alias("first"))
-    close = near.join(cand.select("lh", "doc", "rk", "line"), "lh").groupBy("doc", "rk").agg(F.array_sort(F.collect_list("line")).alias("near"))
+    first = packs.mapInArrow(places, "doc long, rk long, line long").groupBy("doc", "rk").agg(F.collect_list("line").alias("first"))
+    close = near.join(cand.select("id", "doc", "rk", "line"), "id").groupBy("doc", "rk").agg(F.array_sort(F.collect_list("line")).alias("near"))
 
     def numbers(it):
         for b, data, offs in _text.batches(it, "text"):
