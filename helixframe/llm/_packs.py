@@ -136,6 +136,8 @@ def opened(it: Iterator[pa.RecordBatch]):
         for dest, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
             ids, null, offs, data = expand(body.as_py())
             yield dest, ids, null, offs, data
+            del ids, null, offs, data
+            _text.give_back()
 
 
 def by_dest(rows: DataFrame, f, schema: str = SCHEMA) -> DataFrame:
@@ -144,7 +146,11 @@ def by_dest(rows: DataFrame, f, schema: str = SCHEMA) -> DataFrame:
     def run(t: pa.Table):
         t = t.sort_by([("kind", "ascending"), ("src", "ascending")])
         got = list(zip(t.column("src").to_pylist(), t.column("kind").to_pylist(), t.column("body").to_pylist(), strict=True))
-        parts = list(f(t.column("dest")[0].as_py(), got))
+        dest = t.column("dest")[0].as_py()
+        del t
+        parts = list(f(dest, got))
+        del got
+        _text.give_back()
         return pa.Table.from_batches(parts) if parts else None
 
     names = [x.strip().split(" ")[0] for x in schema.split(",")]

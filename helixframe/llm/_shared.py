@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: texts, sketches and messages are long rows, and JVM and worker both hold a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().getConfString(key, "67108864b").rstrip("b")) > 8 * MB:
+        spark.conf.set(key, str(8 * MB))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder for intermediate data; it goes when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +55,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
     _cluster.ensure_importable(spark)
+    _small_batches(spark)
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -83,4 +91,5 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     _cluster.ensure_importable(spark)
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

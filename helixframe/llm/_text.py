@@ -9,6 +9,8 @@ and nothing is kept between batches.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -69,6 +71,13 @@ def pieces(n_bytes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay alive between stages, and what one has freed another may need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the incoming batches with at most `limit` text bytes (or one row)."""
     for b in it:
@@ -77,6 +86,8 @@ def batches(it: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) ->
         data, offs = buffers(b.column(b.schema.get_field_index(column)))
         for i, j in pieces(np.diff(offs), limit):
             yield b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+    b = data = offs = None
+    give_back()
 
 
 def _loader(data: np.ndarray) -> np.ndarray:
