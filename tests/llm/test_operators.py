@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, on tables with odd rows."""
 
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -209,15 +210,18 @@ def test_archive_query_reads_rebuilt_records(spark, tmp_path, monkeypatch):
         q.op3_warc(spark, str(tmp_path)).collect()
 
 
-def test_archive_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view pages as select * from '{SMALL}/pages.parquet'")
-    want = con.sql(warc.OP3_SQL)
+    for t in ("pages", "documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    want = con.sql(q.ORACLE_SQL[name])
+    got = q.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(want.columns)
     key = lambda rows: sorted(map(str, rows))
-    got = q.op3_warc(spark, SMALL).select(*want.columns).collect()
-    assert key(tuple(r) for r in got) == key(want.fetchall())
+    assert key(tuple(r) for r in got.select(*want.columns).collect()) == key(want.fetchall())
 
 
 # ------------------------------------------------------------ language model
@@ -235,8 +239,8 @@ def test_language_model(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[w] > 0 for w in t), n, held[i])
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
         assert r["score"] <= 0
-    # the same whatever the packs and partitions
-    again = by_id(language_model.score_documents(docs.repartition(2), pack_bytes=4000))
+    # the same whatever the packs, partitions and relays
+    again = by_id(language_model.score_documents(docs.repartition(6), pack_bytes=4000, most=2, bits=1))
     assert all(math.isclose(again[i]["score"], got[i]["score"], rel_tol=1e-9) for i in got)
     assert language_model.score_documents(empty(spark)).count() == 0
 
@@ -486,6 +490,52 @@ def test_fingerprints(spark, tmp_path):
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
     assert got[6]["fingerprint"] == got[7]["fingerprint"] and got[6]["near_next"] == 1.0 and got[0]["near_next"] == 1.0
     assert got[5]["near_edited"] > 0.4
+    # texts without a hash below the threshold are told apart by their tag
+    assert got[3]["fingerprint"] != got[4]["fingerprint"]
+
+
+def brute_sketch(x, fraction=1 / 4):
+    import struct
+
+    import xxhash
+
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in SPLIT.findall(x)]
+    runs = [words[k : k + 5] for k in range(len(words) - 4)] or ([words] if words else [])
+    out, every = set(), set()
+    for r in runs:
+        h = 42
+        for w in r:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), h)
+        every.add(h & (2**63 - 1))
+    out = sorted(h for h in every if h < int(fraction * 2**63))
+    return f"{signed(xxhash.xxh64_intdigest(x.encode(), 42)) % 2**64:x}:" + ",".join(f"{h:x}" for h in out), set(out), every
+
+
+def test_fingerprint_query(spark):
+    """Sketches and likeness against plain sets, and the estimates against exact likeness."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ids, errors = sorted(texts), []
+    for k, r in enumerate(sorted(q.op8_fingerprints(spark, SMALL).collect(), key=lambda r: r["doc_id"])):
+        x, nxt = texts[ids[k]], texts[ids[(k + 1) % len(ids)]]
+        cut = len(x) // 4
+        edited = x[: len(x) - cut] + nxt[:cut]
+        (fp, a, all_a), (fe, b, all_b), (_, c, _) = (brute_sketch(y) for y in (x, edited, nxt))
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (ids[k], len(x), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"].lstrip("0") or "0", r["edited_fingerprint"].lstrip("0")) == (fp, fe)
+        for got, s, t, same in ((r["near_edited"], a, b, x == edited), (r["near_next"], a, c, x == nxt)):
+            assert math.isclose(got, len(s & t) / len(s | t) if s | t else float(same))
+        if len(all_a) > 200:
+            errors.append(abs(r["near_edited"] - len(all_a & all_b) / len(all_a | all_b)))
+    assert np.mean(errors) < 0.05
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 26, 27, 200])
+def test_bucket_levels(spark, monkeypatch, n):
+    monkeypatch.setattr(fingerprints, "FAN", 3)
+    cuts = [5 * k for k in range(n)]
+    got = spark.range(-3, 5 * n + 3).withColumnRenamed("id", "doc_id").withColumn("at", fingerprints._bucket(cuts)).collect()
+    assert all(r["at"] == sum(c <= r["doc_id"] for c in cuts) for r in got)
 
 
 def test_fingerprint_next_across_ranges(spark):
@@ -519,14 +569,38 @@ def test_token_output(spark, tmp_path):
     assert token_output.decode_files(spark, e, token_output.encode_documents(empty(spark), e, token_output.default_tokenizer())).count() == 0
 
 
+def test_equal_hashes_and_long_texts(spark, tmp_path):
+    """Texts made to collide, and one beyond every piece that operators work on."""
+    from tokenizers import Tokenizer
+
+    rows = [*thue_morse(), (" ".join(WORDS) + " " + "zeta" * 160 + "\n") * 3300]
+    tok = Tokenizer.from_file(token_output.default_tokenizer())
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = f"file://{tmp_path}/t"
+    got = by_id(token_output.decode_files(spark, out, token_output.encode_documents(docs, out, token_output.default_tokenizer())))
+    for i, x in enumerate(rows):
+        ids = [*tok.encode(x, add_special_tokens=False).ids, 2]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    scored = by_id(language_model.score_documents(docs))
+    assert all(scored[i]["n_tokens"] == len(words(x)) + 1 for i, x in enumerate(rows))
+    assert {i: r["n_shingles"] for i, r in by_id(near_dedup.near_duplicates(docs)).items()} == {i: len({tuple(words(x)[k : k + 5]) for k in range(max(1, len(words(x)) - 4))}) for i, x in enumerate(rows)}
+    spans = by_id(exact_substrings.repeated_spans(docs))
+    assert [sum(z["end"] - z["start"] for z in spans[4]["spans"])] == [len(rows[4])]
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 5000])
 def test_patched_blocks(n):
     rng = np.random.default_rng(n)
     ids = np.where(rng.random(n) < 0.03, rng.integers(0, 2**32, n), rng.integers(500, 900, n)).astype(np.uint32)
-    raw = token_output.pack(ids, [None, 7], np.array([1, n - 1]), {"shard": 3})
-    got, docs, lens, meta = token_output.unpack(raw)
-    assert np.array_equal(got, ids) and docs == [None, 7] and lens.tolist() == [1, n - 1] and meta["shard"] == 3
-    assert n < 1024 or len(raw) < 2.2 * n + 400
+    buf = io.BytesIO()
+    w = token_output.Writer(buf, {"shard": 3})
+    w.add(ids[:1], [None], np.array([1]))
+    w.add(ids[1:], [7], np.array([n - 1]))
+    w.close()
+    r = token_output.Reader(buf.getvalue())
+    assert np.array_equal(r.ids(), ids) and r.doc_ids == [None, 7] and r.lens.tolist() == [1, n - 1] and r.meta["shard"] == 3
+    assert np.array_equal(np.concatenate([x for _, _, x in r.documents(group=2)]), ids)
+    assert n < 1024 or len(buf.getvalue()) < 2.2 * n + 400
 
 
 # --------------------------------------------------------- exact substrings
@@ -549,14 +623,24 @@ def brute_spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [200, 40])
-def test_exact_substrings(spark, length):
+@pytest.mark.parametrize("length,how", [(200, {}), (40, {}), (200, {"hot": 1}), (40, {"hot": 5, "most": 1, "bits": 1})])
+def test_exact_substrings(spark, length, how):
     rng = np.random.default_rng(5)
     base = "".join(rng.choice(list("abcdé \n"), 900))
     extra = [base[a : a + n] for a, n in rng.integers(1, 500, (30, 2)).tolist()] + ["ab" * n for n in (20, 150, 151)] + ["\0" * 250, "\0" * 250 + base[:220], base[:300] + "!" + base[300:]]
+    other = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common = other(150)  # one passage in ever new surroundings
+    extra += [other(60 + k) + common + other(70) for k in range(20)] + [other(60) + common[:140] + other(20) for _ in range(5)] + thue_morse()
     docs, raw = odd_docs(spark, extra)
-    got = by_id(exact_substrings.repeated_spans(docs, length, with_kept=True))
+    got = by_id(exact_substrings.repeated_spans(docs.repartition(5), length, with_kept=True, **how))
     for i, (spans, sha) in enumerate(brute_spans(raw, length)):
         assert ([(s["start"], s["end"]) for s in got[i]["spans"]], got[i]["kept_sha256"]) == (spans, sha)
         assert hashlib.sha256(bytes(got[i]["kept"])).hexdigest() == sha
     assert exact_substrings.repeated_spans(empty(spark)).count() == 0
+
+
+def test_exact_substrings_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = by_id(q.op10_exact_substrings(spark, SMALL))
+    for (i, x), (spans, sha) in zip(texts.items(), brute_spans(texts.values(), 200), strict=True):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len((x or "").encode()), sum(b - a for a, b in spans), len(spans), sha)
