@@ -94,10 +94,14 @@ def gc_bins(windows: DataFrame, text: str = "text", cover: str = "depth", min_wi
     return grid.join(per, "gc", "left").crossJoin(F.broadcast(overall)).select("gc", F.coalesce("windows", F.lit(0)).alias("windows"), mean.alias("mean_depth"), F.coalesce(weight, F.lit(1.0)).alias("weight"))
 
 
-def quality_counts(reads: DataFrame, id_: str, quals: str) -> DataFrame:
-    """(pos, prev, cur, n) of all reads: prev is -1 at a read's start.  Array lag, so reads are never dealt out by base."""
+def quality_counts(reads: DataFrame, id_: str, quals: str, places: int | None = None) -> DataFrame:
+    """(pos, prev, cur, n) of all reads: prev is -1 at a read's start.  Array lag, so reads are never dealt out by base.
+
+    With ``places`` the positions of a read of any length are scaled to that many.
+    """
     q = F.col(quals)
-    steps = F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.struct(i.alias("pos"), F.coalesce(F.when(i > 0, F.get(q, i - 1)), F.lit(-1)).cast("int").alias("prev"), F.get(q, i).cast("int").alias("cur")))
+    at = (lambda i: i) if places is None else (lambda i: F.least(F.floor(i * F.lit(places).cast("long") / F.size(q)), F.lit(places - 1)).cast("int"))
+    steps = F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda i: F.struct(at(i).alias("pos"), F.coalesce(F.when(i > 0, F.get(q, i - 1)), F.lit(-1)).cast("int").alias("prev"), F.get(q, i).cast("int").alias("cur")))
     rows = reads.where(F.size(q) > 0).select(F.explode(steps).alias("s")).select("s.*")
     return rows.groupBy("pos", "prev", "cur").agg(F.count("*").alias("n"))
 

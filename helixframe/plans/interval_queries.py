@@ -29,8 +29,8 @@ def spans(t):
 
 
 def tiles(t):
-    """Disjoint segments: part keys in steps of 100 on one contig each, value from the price."""
-    return t.part.where("p_partkey % 10 = 0").select(F.lit("s").alias("contig"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_partkey") * 10 + 80).alias("end"), F.col("p_retailprice").cast("double").alias("value"))
+    """Disjoint segments of one contig: each part's key in steps of 100, value from the price."""
+    return t.part.select(F.lit("s").alias("contig"), (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + 80).alias("end"), F.col("p_retailprice").cast("double").alias("value"))
 
 
 def overrides(t):
@@ -40,7 +40,7 @@ def overrides(t):
 BED = "bed AS (SELECT ['A','N','R'][p_size % 3 + 1] AS contig, p_partkey * 10 AS s, p_partkey * 10 + 7 AS e, p_retailprice AS value FROM part)"
 PTS = "pts AS (SELECT l_returnflag AS contig, l_orderkey AS pos, l_linenumber AS ref, l_suppkey AS alt, l_quantity AS quantity FROM lineitem)"
 SPANS = "spans AS (SELECT substr(o_orderpriority, 1, 1) AS contig, o_orderkey AS s, o_orderkey + 5 + o_custkey % 40 AS e, o_custkey AS cust FROM orders)"
-TILES = "tiles AS (SELECT p_partkey * 10 AS s, p_partkey * 10 + 80 AS e, p_retailprice::DOUBLE AS value FROM part WHERE p_partkey % 10 = 0)"
+TILES = "tiles AS (SELECT p_partkey * 100 AS s, p_partkey * 100 + 80 AS e, p_retailprice::DOUBLE AS value FROM part)"
 OVER = "ov AS (SELECT s_suppkey * 37 AS s, s_suppkey * 37 + 120 AS e, s_nationkey / 4.0 AS value, s_suppkey AS ord FROM supplier)"
 ATOMS = """cuts AS (SELECT s AS p FROM tiles UNION SELECT e FROM tiles UNION SELECT s FROM ov UNION SELECT e FROM ov),
 atoms AS (SELECT p AS s, lead(p) OVER (ORDER BY p) AS e FROM cuts QUALIFY e IS NOT NULL)"""
@@ -158,9 +158,9 @@ def coverage_depth(t):
 @query("""SELECT doc_id, k, start, start + length(run) AS \"end\", run LIKE 'N%' AS is_n FROM (
 SELECT doc_id, k, run, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (
 SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) - 1 AS k FROM (
-SELECT doc_id, regexp_extract_all(upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')), 'N+|[^N]+') AS runs FROM documents WHERE n_chars < 1500)))""")
+SELECT doc_id, regexp_extract_all(upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')), 'N+|[^N]+') AS runs FROM documents)))""")
 def n_runs(t):
-    s = t.documents.where("n_chars < 1500").select(F.col("doc_id").alias("contig"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "N")).alias("seq"))
+    s = t.documents.select(F.col("doc_id").alias("contig"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "N")).alias("seq"))
     from pyspark.sql import Window
 
     r = intervals.n_runs(s)

@@ -200,16 +200,16 @@ def vcf_lines(t):
     return v.select(vcf.truth_line().alias("line"))
 
 
-@query("SELECT '@r' || doc_id || chr(10) || substr(s, 1, 50) || chr(10) || '+' || chr(10) || repeat('I', length(substr(s, 1, 50))) AS record FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS s FROM documents)")
+@query("SELECT '@r' || doc_id || chr(10) || s || chr(10) || '+' || chr(10) || repeat('I', length(s)) AS record FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS s FROM documents)")
 def fastq_lines(t):
-    s = t.documents.select("doc_id", F.substring(F.regexp_replace(F.upper("text"), "[^ACGTN]", ""), 1, 50).alias("s"))
+    s = t.documents.select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("s"))
     return s.select(F.concat_ws("\n", F.concat(F.lit("@r"), "doc_id"), "s", F.lit("+"), F.repeat(S.phred_char(F.lit(40)), F.length("s"))).alias("record"))
 
 
-@query("SELECT concat_ws(chr(9), l_returnflag, l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN 'DP=1;REASON=outside_mutation_bed' ELSE 'REASON=outside_mutation_bed' END) AS line FROM lineitem WHERE l_suppkey % 9 = 0")
+@query("SELECT concat_ws(chr(9), l_returnflag, l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN 'DP=1;REASON=outside_mutation_bed' ELSE 'REASON=outside_mutation_bed' END) AS line FROM lineitem")
 def annotated_lines(t):
     info = V.append_info(F.when(F.col("l_suppkey") % 2 == 0, "DP=1").otherwise("."), F.lit("REASON=outside_mutation_bed"))
-    return t.lineitem.where("l_suppkey % 9 = 0").select(F.concat_ws("\t", "l_returnflag", "l_orderkey", "l_linenumber", info).alias("line"))
+    return t.lineitem.select(F.concat_ws("\t", "l_returnflag", "l_orderkey", "l_linenumber", info).alias("line"))
 
 
 _LINE = """v AS (SELECT l_orderkey, l_linenumber, l_suppkey, concat_ws(chr(9), l_returnflag, l_orderkey, '.', 'A', ['C','AT','<DEL>','C,G'][(l_suppkey % 4)::INT + 1], CASE WHEN l_suppkey % 3 = 0 THEN '.' ELSE l_suppkey::VARCHAR END, 'PASS', 'SVTYPE=DEL;END=' || (l_orderkey + 9), CASE WHEN l_linenumber % 2 = 0 THEN 'GT:DP' ELSE 'DP' END, CASE WHEN l_linenumber % 2 = 0 THEN '1/1:7' ELSE '7' END) AS line FROM lineitem)"""
@@ -253,16 +253,16 @@ def alias_parse(t):
     return tables.parse_aliases(t.nation.select(line.alias("value")))
 
 
-@query("SELECT r_name AS id FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = r_regionkey AND n_nationkey < 3) UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 3")
+@query("SELECT r_name AS id FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = r_regionkey + 22) UNION ALL SELECT n_name FROM nation")
 def header_merge(t):
-    have = t.nation.where("n_nationkey < 3")
-    new = t.region.join(have, F.col("n_nationkey") == F.col("r_regionkey"), "left_anti")
+    have = t.nation
+    new = t.region.join(have, F.col("n_nationkey") == F.col("r_regionkey") + 22, "left_anti")
     return new.select(F.col("r_name").alias("id")).unionByName(have.select(F.col("n_name").alias("id")))
 
 
-@query("SELECT doc_id, substr(text, 1, 10) AS head FROM documents WHERE doc_id < 25")
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 25")
 def first_n_reads(t):
-    return t.documents.where("doc_id < 25").select("doc_id", F.substring("text", 1, 10).alias("head"))
+    return t.documents.select("doc_id", "text").orderBy("doc_id").limit(25)
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

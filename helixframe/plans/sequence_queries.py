@@ -15,7 +15,7 @@ SEQ = "seq AS (SELECT doc_id, lang, regexp_replace(upper(text), '[^ACGTN]', '',
 #: positions of a sequence as rows
 POS = """ch AS (SELECT doc_id, lang, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM seq WHERE length(s) >= 3),
 p AS (SELECT doc_id, lang, i, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2 FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)), k AS (SELECT doc_id, lang, i, c || c1 || c2 AS kmer FROM p WHERE c2 IS NOT NULL)"""
-QUAL = """q AS (SELECT doc_id, i, greatest(0, least(93, ascii(substr(t, i, 1)) - 33)) AS q FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT doc_id, substr(text, 1, 400) AS t FROM documents)))"""
+QUAL = """q AS (SELECT doc_id, i, n, greatest(0, least(93, ascii(c) - 33)) AS q FROM (SELECT doc_id, length(t) AS n, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '.', 'g') AS t FROM documents) WHERE length(t) > 0))"""
 
 
 def seqs(t):
@@ -28,8 +28,8 @@ def kmers(t):
 
 
 def quals(t):
-    """The first 400 characters of a text as one read's qualities (reads are short)."""
-    return t.documents.select("doc_id", F.transform(S.bases(F.substring("text", 1, 400)), lambda c: S.phred_score(c)).alias("quals"))
+    """A whole text as one read's qualities."""
+    return t.documents.select("doc_id", F.transform(S.bases(F.regexp_replace("text", "[^ -~]", ".")), lambda c: S.phred_score(c)).alias("quals"))
 
 
 @query(f"WITH {SEQ} SELECT doc_id, md5(reverse(translate(s, 'ACGTacgt', 'TGCAtgca'))) AS h FROM seq")
@@ -53,23 +53,25 @@ def subseq(t):
     return seqs(t).select("doc_id", S.subsequence("seq", 11, 25).alias("piece"))
 
 
-@query("SELECT doc_id, upper(substr(text, 1, 3)) = upper(substr(text, 5, 3)) AS same FROM documents")
+@query("SELECT doc_id, upper(substr(a, 1, length(a) // 2)) = upper(substr(a, length(a) // 2 + 1)) AS same FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '.', 'g') AS a FROM documents)")
 def ci_equal(t):
-    return t.documents.select("doc_id", S.same_bases(F.substring("text", 1, 3), F.substring("text", 5, 3)).alias("same"))
+    half = F.floor(F.length("a") / 2).cast("int")
+    a = t.documents.select("doc_id", F.regexp_replace("text", "[^ -~]", ".").alias("a"))
+    return a.select("doc_id", S.same_bases(F.substr("a", F.lit(1), half), F.substr("a", half + 1)).alias("same"))
 
 
-@query(f"""WITH {SEQ}, r AS (SELECT doc_id, substr(s, 1, 60) AS s FROM seq)
-SELECT doc_id, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) AS seq, reverse(translate(s, 'ACGTN', 'MIDSM')) AS cigar FROM r""")
+@query(f"""WITH {SEQ}
+SELECT doc_id, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) AS seq, reverse(translate(s, 'ACGTN', 'MIDSM')) AS cigar FROM seq""")
 def reverse_record(t):
-    r = seqs(t).select("doc_id", F.substring("seq", 1, 60).alias("s"))
+    r = seqs(t).select("doc_id", F.col("seq").alias("s"))
     r = r.withColumn("c", S.bases(F.translate("s", "ACGTN", "MIDSM"))).select("doc_id", S.reverse_record("s", "c", "c").alias("r"))
     return r.select("doc_id", "r.seq", F.array_join("r.cigar", "").alias("cigar"))
 
 
-@query(f"WITH {SEQ}, a AS (SELECT doc_id, substr(s, 1, 20 + (doc_id % 60)::INT) AS s FROM seq) SELECT doc_id, substr(s, 1, 70) || substr(repeat('AGATCGGAAGAGC', 6), 1, greatest(0, 70 - length(s))) AS read FROM a")
+@query(f"WITH {SEQ}, a AS (SELECT doc_id, unnest(r) AS s, generate_subscripts(r, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(s, '.{{1,70}}') AS r FROM seq)) SELECT doc_id, k, substr(s, 1, 70) || substr(repeat('AGATCGGAAGAGC', 6), 1, greatest(0, 70 - length(s))) AS read FROM a")
 def adapter_pad(t):
-    a = seqs(t).select("doc_id", F.substr("seq", F.lit(1), (F.col("doc_id") % 60 + 20).cast("int")).alias("s"))
-    return a.select("doc_id", S.adapter_pad("s", F.lit("AGATCGGAAGAGC"), 70).alias("read"))
+    a = seqs(t).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,70}"), F.lit(0))).alias("k", "s"))
+    return a.select("doc_id", F.col("k").cast("long").alias("k"), S.adapter_pad("s", F.lit("AGATCGGAAGAGC"), 70).alias("read"))
 
 
 @query(f"WITH {SEQ} SELECT doc_id, length(s)::BIGINT AS n FROM seq")
@@ -77,9 +79,9 @@ def fasta_lengths(t):
     return seqs(t).select("doc_id", F.length("seq").cast("long").alias("n"))
 
 
-@query(f"WITH {SEQ}, w AS (SELECT doc_id, substr(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'), 1, 400) AS s FROM documents) SELECT doc_id, round((length(s) - length(replace(s, 'N', ''))) / length(s)::DOUBLE, 9) AS f FROM w WHERE length(s) > 0")
+@query(f"WITH {SEQ}, w AS (SELECT doc_id, regexp_replace(text, '[^ACGTacgt]', 'N', 'g') AS s FROM documents) SELECT doc_id, round((length(s) - length(replace(s, 'N', ''))) / length(s)::DOUBLE, 9) AS f FROM w WHERE length(s) > 0")
 def n_fraction_window(t):
-    w = t.documents.select("doc_id", F.substring(F.regexp_replace("text", "[^ACGTacgt]", "N"), 1, 400).alias("s")).where(F.length("s") > 0)
+    w = t.documents.select("doc_id", F.regexp_replace("text", "[^ACGTacgt]", "N").alias("s")).where(F.length("s") > 0)
     return w.select("doc_id", F.round(S.n_fraction("s"), 9).alias("f"))
 
 
@@ -162,9 +164,10 @@ def seed_hist(t):
     return models.quality_counts(quals(t), "doc_id", "quals").where("prev = -1").groupBy(F.col("cur").alias("q")).agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {QUAL}, l AS (SELECT i, lag(q) OVER (PARTITION BY doc_id ORDER BY i) AS prev, q FROM q), c AS (SELECT i - 1 AS pos, prev, q AS cur, count(*) AS n FROM l WHERE prev IS NOT NULL AND i <= 60 GROUP BY 1, 2, 3) SELECT pos, prev, cur, n, round(n / sum(n) OVER (PARTITION BY pos, prev), 9) AS p FROM c")
+@query(f"WITH {QUAL}, l AS (SELECT least(150 * (i - 1) // n, 149) AS pos, lag(q) OVER (PARTITION BY doc_id ORDER BY i) AS prev, q FROM q), c AS (SELECT pos, prev, q AS cur, count(*) AS n FROM l WHERE prev IS NOT NULL GROUP BY 1, 2, 3) SELECT pos, prev, cur, n, round(n / sum(n) OVER (PARTITION BY pos, prev), 9) AS p FROM c")
 def quality_markov(t):
-    c = models.quality_counts(quals(t), "doc_id", "quals").where("prev >= 0 and pos < 60")
+    # places of a read of any length on the model's 150
+    c = models.quality_counts(quals(t), "doc_id", "quals", places=150).where("prev >= 0")
     return models.shares(c, ["pos", "prev"]).withColumn("p", F.round("p", 9)).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -185,16 +188,16 @@ def index_remap(t):
     return d.select("doc_id", "i", S.remap_index("i", "n_chars", 150).cast("long").alias("j"))
 
 
-@query(f"WITH {QUAL} SELECT doc_id, string_agg(chr(q + 33), '' ORDER BY i) AS text FROM q WHERE i <= 50 GROUP BY doc_id")
+@query(f"WITH {QUAL} SELECT doc_id, string_agg(chr(q + 33), '' ORDER BY i) AS text FROM q GROUP BY doc_id")
 def phred_roundtrip(t):
-    return quals(t).where(F.size("quals") > 0).select("doc_id", S.phred_string(F.slice("quals", 1, 50)).alias("text"))
+    return quals(t).where(F.size("quals") > 0).select("doc_id", S.phred_string("quals").alias("text"))
 
 
 @query(f"""WITH {SEQ}, c AS (SELECT doc_id, i, o, sum((o <> po)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
-SELECT doc_id, i, o, coalesce(lag(o) OVER (PARTITION BY doc_id ORDER BY i), o) AS po FROM (SELECT doc_id, i, substr(translate(s, 'ACGTN', 'MMIDM'), i, 1) AS o FROM (SELECT doc_id, substr(s, 1, 200) AS s, unnest(range(1, least(length(s), 200) + 1)) AS i FROM seq))))
+SELECT doc_id, i, o, coalesce(lag(o) OVER (PARTITION BY doc_id ORDER BY i), o) AS po FROM (SELECT doc_id, translate(c, 'ACGTN', 'MMIDM') AS o, i FROM (SELECT doc_id, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM seq WHERE length(s) > 0))))
 SELECT doc_id, string_agg(n || o, '' ORDER BY g) AS cigar FROM (SELECT doc_id, g, any_value(o) AS o, count(*) AS n FROM c GROUP BY doc_id, g) GROUP BY doc_id""")
 def cigar_rle(t):
-    s = seqs(t).where(F.length("seq") > 0).select("doc_id", S.bases(F.translate(F.substring("seq", 1, 200), "ACGTN", "MMIDM")).alias("ops"))
+    s = seqs(t).where(F.length("seq") > 0).select("doc_id", S.bases(F.translate("seq", "ACGTN", "MMIDM")).alias("ops"))
     return s.select("doc_id", S.run_length("ops").alias("cigar"))
 
 
@@ -256,7 +259,7 @@ def weighted_fragments(t):
     return u.join(table, "doc_id").where((F.col("u") > F.col("cum_lo")) & (F.col("u") <= F.col("cum_hi"))).select("doc_id", "k", "start")
 
 
-@query(f"""WITH {SEQ}, {POS}, kw AS (SELECT kmer, count(*) AS w FROM k GROUP BY kmer), j AS (SELECT doc_id, i, w FROM k JOIN kw USING (kmer) WHERE doc_id < 50),
+@query(f"""WITH {SEQ}, {POS}, kw AS (SELECT kmer, count(*) AS w FROM k GROUP BY kmer), j AS (SELECT doc_id, i, w FROM k JOIN kw USING (kmer)),
 c AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS hi, sum(w) OVER (PARTITION BY doc_id) AS total FROM j),
 u AS (SELECT DISTINCT doc_id, {_U.format(key="concat_ws('|', '5', 'snp', doc_id)")} AS u FROM j)
 SELECT doc_id, i - 1 AS i FROM c JOIN u USING (doc_id) WHERE greatest(u, 1e-12) > (hi - w) / total AND greatest(u, 1e-12) <= hi / total""")
@@ -264,25 +267,25 @@ def context_placement(t):
     k = kmers(t)
     kw = k.groupBy("kmer").agg(F.count("*").alias("n"))
     # at most 125 different contexts
-    j = k.where("doc_id < 50").join(F.broadcast(kw), "kmer").select("doc_id", F.col("i").cast("long").alias("i"), "n")
+    j = k.join(F.broadcast(kw), "kmer").select("doc_id", F.col("i").cast("long").alias("i"), "n")
     table = models.cdf(j, ["doc_id"], ["i"])
     u = F.greatest(R.uniform("doc_id", seed=5, stream="snp"), F.lit(1e-12))
     return table.withColumn("u", u).where("u > cum_lo and u <= cum_hi").select("doc_id", "i")
 
 
-@query("""WITH c AS (SELECT doc_id, i, substr(upper(text), i, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, least(length(text), 80) + 1)) AS i FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '.', 'g') AS text FROM documents))),
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT doc_id, upper(regexp_replace(text, '[^ -~]', '.', 'g')) AS t FROM documents) WHERE length(t) > 0),
 m AS (SELECT * FROM (VALUES ('R','AG'),('Y','CT'),('M','AC'),('K','GT'),('S','CG'),('W','AT'),('H','ACT'),('B','CGT'),('V','ACG'),('D','AGT')) v(code, options))
 SELECT doc_id, string_agg(CASE WHEN options IS NULL THEN ch ELSE substr(options, (floor((('0x' || substr(md5(concat_ws('|', '5', 'iupac', doc_id, i - 1)), 1, 8))::BIGINT / 4294967296.0) * length(options)) + 1)::INT, 1) END, '' ORDER BY i) AS seq
 FROM c LEFT JOIN m ON m.code = c.ch GROUP BY doc_id""")
 def iupac_resolve(t):
     d = t.documents.where(F.length("text") > 0)
-    chars = S.bases(F.substring(F.upper(F.regexp_replace("text", "[^ -~]", ".")), 1, 80))
+    chars = S.bases(F.upper(F.regexp_replace("text", "[^ -~]", ".")))
     return d.select("doc_id", F.array_join(F.transform(chars, lambda c, i: S.resolve_iupac(c, R.uniform("doc_id", i, seed=5, stream="iupac"))), "").alias("seq"))
 
 
-@query(f"WITH {SEQ}, {POS}, n AS (SELECT kmer, count(*) AS n FROM k WHERE kmer LIKE 'A%' GROUP BY kmer), c AS (SELECT kmer, sum(n) OVER (ORDER BY kmer) / sum(n) OVER () AS cum FROM n) SELECT kmer, round(greatest(cum - coalesce(lag(cum) OVER (ORDER BY kmer), 0), 0), 9) AS density FROM c")
+@query(f"WITH {SEQ}, {POS}, n AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer), c AS (SELECT kmer, sum(n) OVER (ORDER BY kmer) / sum(n) OVER () AS cum FROM n) SELECT kmer, round(greatest(cum - coalesce(lag(cum) OVER (ORDER BY kmer), 0), 0), 9) AS density FROM c")
 def cumulative_diff(t):
-    n = kmers(t).where("kmer like 'A%'").groupBy("kmer").agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+    n = kmers(t).groupBy("kmer").agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
     return models.density(models.cdf(n, ["g"], ["kmer"]), ["g"], ["kmer"]).select("kmer", F.round("density", 9).alias("density"))
 
 

@@ -11,7 +11,7 @@ query = Registry()
 
 
 def contigs(t):
-    return t.documents.where("n_chars > 2000").select(F.col("doc_id").cast("string").alias("contig"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq")).where(F.length("seq") >= 400)
+    return t.documents.select(F.col("doc_id").cast("string").alias("contig"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq")).where(F.length("seq") > 0)
 
 
 @query()
