@@ -10,8 +10,9 @@ Documents with equal sets are first collapsed to one node.  In a band
 bucket every member is tried against the smallest id; components that result
 are merged, and only buckets whose members still lie in different components
 have their other cross-component pairs tried, in blocks of bounded size, by
-sketch.  So a group of copies costs what it has members, and no candidate link
-between two components goes untested.
+sketch and then on full sets in place.  A block gives back links that join its
+components and no others, fewer than it has members.  So a group of copies costs
+what it has members, and no candidate link between two components goes untested.
 
 Nulls and texts without words have an empty set and link to nothing.  Null
 doc_ids are kept as singletons of component null.  Rows that repeat a doc_id
@@ -34,6 +35,7 @@ from .components import connected_components
 U64 = np.uint64
 SAMPLES, ROWS, BANDS, BITS = 256, 4, 32, 1024
 FINE_SAMPLES, FINE_BITS = 2048, 8192
+BLOCK_SHINGLES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
 SEED_XOR = _rng.integers(0, 2**63, 4096, dtype=np.uint64)
 SEED_MUL = _rng.integers(0, 2**62, 4096, dtype=np.uint64) * U64(2) + U64(1)
@@ -143,70 +145,123 @@ def _sketches_allow(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked for."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y) or not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b), by their full shingle sets."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(it):
         for b in it:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     return _shared.store(joined.mapInArrow(run, "a long, b long"), "links")
 
 
-def _cross_pairs(members: DataFrame, percent: int, most: int, block: int, nearest: int = 0, most_fine: int = 0) -> DataFrame:
-    """Candidate pairs of different components in one bucket, by sketch (key, id, component, sketch).
+def _in_blocks(members: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Members (key, id, component, size, sketch) by pairs (p, q) of their bucket's blocks.
 
-    All of them that a fine sketch (column fine) allows too, or the ``nearest`` few of each member outside the largest
-    component.  A bucket is cut into blocks of about ``block`` members and each pair of
-    blocks is a group of its own: no task holds more than two blocks.  Sets whose sizes rule a link out are not compared.
+    A bucket is cut into blocks of about ``block`` members, or of BLOCK_SHINGLES shingles if those are fewer, and each
+    pair of blocks is a group of its own: no task holds more than two blocks.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("k"))
     placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "size", "sketch", *([] if nearest else ["fine"]))
+    return placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "component", "size", "sketch", *columns)
+
+
+class _Block:
+    """A pair of blocks in memory: for a member, the ones that it may be linked with."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.ids, comp, i, self.size = (t.column(c).to_numpy() for c in ("id", "component", "i", "size"))
+        self.percent, self.sketch = percent, self.bits(t.column("sketch"))
+        self.one = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+        self.side = np.zeros(len(self.ids), bool) if self.one else i == i.min()
+        self.kinds, self.inv, count = np.unique(comp, return_inverse=True, return_counts=True)
+        self.largest = count.argmax()
+        self.small = np.flatnonzero(self.inv != self.largest).tolist()
+
+    def bits(self, column) -> np.ndarray:
+        raw, _ = _text.buffers(column)
+        return np.ascontiguousarray(raw).view(np.uint64).reshape(len(self.ids), -1)
+
+    def others(self, x: int, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components whose sizes rule no link out, and how far their sketches are from x's."""
+        # both members outside the largest component: once, unless both ways are asked for
+        ok = (self.inv != self.inv[x]) & (both_ways | (self.inv == self.largest) | (self.ids > self.ids[x]))
+        ok &= (self.one | (self.side != self.side[x])) & (100 * np.minimum(self.size, self.size[x]) >= self.percent * np.maximum(self.size, self.size[x]))
+        other = np.flatnonzero(ok)
+        return other, np.bitwise_count(self.sketch[other] ^ self.sketch[x]).sum(axis=1, dtype=np.int64)
+
+    def pairs(self, a: list, b: list) -> pa.Table:
+        a, b = self.ids[np.array(a, np.int64)], self.ids[np.array(b, np.int64)]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _nearest_pairs(members: DataFrame, percent: int, most: int, block: int, nearest: int) -> DataFrame:
+    """Candidates: of each member outside its block's largest component the ``nearest`` few of other components, by sketch."""
+
+    def run(t: pa.Table) -> pa.Table:
+        m, a, b = _Block(t, percent), [], []
+        for x in m.small:
+            other, d = m.others(x, True)
+            if len(d) > nearest:
+                best = np.argpartition(d, nearest)[:nearest]
+                other, d = other[best], d[best]
+            near = other[d <= most].tolist()
+            a += [x] * len(near)
+            b += near
+        return m.pairs(a, b)
+
+    return _in_blocks(members, block).groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def _joining_links(members: DataFrame, percent: int, most: int, most_fine: int, block: int) -> DataFrame:
+    """Links between the components of each bucket, confirmed on full sets (columns fine and shingles beside the others).
+
+    Every pair of different components that both sketches allow is compared, nearest first, unless links found before
+    join the two: a pair of blocks gives less links than it has components.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp, i, size = (t.column(c).to_numpy() for c in ("id", "component", "i", "size"))
-        sk, _ = _text.buffers(t.column("sketch"))
-        sk = np.ascontiguousarray(sk).view(np.uint64).reshape(len(ids), -1)
-        if not nearest:
-            fine, _ = _text.buffers(t.column("fine"))
-            fine = np.ascontiguousarray(fine).view(np.uint64).reshape(len(ids), -1)
-        one_block = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        side = np.zeros(len(ids), bool) if one_block else i == i.min()
-        kinds, inv, count = np.unique(comp, return_inverse=True, return_counts=True)
-        small = np.flatnonzero(inv != count.argmax())
-        a, b = [], []
-        for x in small.tolist():
-            # both members outside the largest component: once
-            other = np.flatnonzero((inv != inv[x]) & ((inv == count.argmax()) | (ids > ids[x]) | (nearest > 0)) & (one_block | (side != side[x])) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
-            if len(other):
-                d = np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1, dtype=np.int64)
-                if nearest and len(d) > nearest:
-                    best = np.argpartition(d, nearest)[:nearest]
-                    other, d = other[best], d[best]
-                near = other[d <= most]
-                if not nearest and len(near):
-                    near = near[np.bitwise_count(fine[near] ^ fine[x]).sum(axis=1, dtype=np.int64) <= most_fine]
-                a.append(np.full(len(near), ids[x]))
-                b.append(ids[near])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return placed.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+        m, a, b = _Block(t, percent), [], []
+        fine, shingles = m.bits(t.column("fine")), t.column("shingles")
+        held: dict[int, np.ndarray] = {}
+
+        def shingles_of(x: int) -> np.ndarray:
+            if x not in held:
+                held[x] = np.frombuffer(shingles[x].as_buffer(), np.uint64)
+            return held[x]
+
+        label = np.arange(len(m.kinds))  # of a component: the one that it is joined to so far
+        for x in m.small:
+            other, d = m.others(x, False)
+            other = other[d <= most]
+            far = np.bitwise_count(fine[other] ^ fine[x]).sum(axis=1, dtype=np.int64)
+            for k in np.argsort(far, kind="stable").tolist():
+                if far[k] > most_fine:
+                    break
+                y = int(other[k])
+                u, v = label[m.inv[x]], label[m.inv[y]]
+                if u != v and _linked(shingles_of(x), shingles_of(y), percent):
+                    label[label == v] = u
+                    a.append(x)
+                    b.append(y)
+        return m.pairs(a, b)
+
+    return _in_blocks(members, block, "fine", "shingles").groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: float = 0.14, fine_margin: float = 0.05, block: int = 4096) -> DataFrame:
@@ -246,17 +301,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5, margin: floa
         now = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         rest = now.join(split, "key").join(sk, "id").select("key", "id", "component", "size", "sketch")
-        if not nearest:
+        if nearest:
+            pairs = _nearest_pairs(rest, percent, most, block, nearest)
+            links = _confirm(_shared.store(pairs.join(tested, ["a", "b"], "left_anti"), "near-candidates"), sets, percent)
+        else:
             rest = _shared.store(rest, "near-rest")
-            fine = fine_sketches(sets.join(rest.select("id").distinct(), "id", "left_semi"))
-            rest = rest.join(_shared.store(fine, "near-fine"), "id")
-        pairs = _cross_pairs(rest, percent, most, block, nearest, sketch_distance(percent / 100 - fine_margin, FINE_SAMPLES, FINE_BITS))
-        more = _shared.store(pairs.join(tested, ["a", "b"], "left_anti"), "near-candidates")
-        links = _confirm(more, sets, percent)
+            open_ = sets.join(rest.select("id").distinct(), "id", "left_semi")
+            rest = rest.join(_shared.store(fine_sketches(open_), "near-fine"), "id").join(open_, "id")
+            most_fine = sketch_distance(percent / 100 - fine_margin, FINE_SAMPLES, FINE_BITS)
+            links = _shared.store(_joining_links(rest, percent, most, most_fine, block), "near-links")
         if not links.isEmpty():
             # components so far stand for their links
             comps = _shared.store(connected_components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))), "near-components")
-        tested = tested.unionByName(more)
 
     # a component is known by its smallest doc_id
     labelled = reps.select("id", "set_key", "rep").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
