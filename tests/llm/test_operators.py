@@ -322,6 +322,35 @@ def test_near_dedup_repeated_ids_and_whole_table(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in q.op5_near_dedup(spark, SMALL).collect()} == want
 
 
+def test_joining_links_are_fewer_than_members(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base = fresh(200)
+    sets = [np.unique(np.concatenate([rng.choice(base, 186, replace=False), fresh(14)])) for _ in range(60)]
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    coarse, fine = (near_dedup.odd_sketch(near_dedup.minhashes(np.concatenate(sets), starts, n), bits) for n, bits in ((near_dedup.SAMPLES, near_dedup.BITS), (near_dedup.FINE_SAMPLES, near_dedup.FINE_BITS)))
+    rows = [(1, i, i, len(x), bytearray(coarse[i].tobytes()), bytearray(fine[i].tobytes()), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, id long, component long, size long, sketch binary, fine binary, shingles binary")
+
+    def joined(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [label[a] if v == label[b] else v for v in label]
+        return {frozenset(i for i, v in enumerate(label) if v == w) for w in label}
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    all_links = [(a, b) for a in range(60) for b in range(a + 1, 60) if linked(a, b)]
+    assert len(all_links) > 200
+    most, most_fine = near_dedup.sketch_distance(0.61), near_dedup.sketch_distance(0.70, near_dedup.FINE_SAMPLES, near_dedup.FINE_BITS)
+    for block in (4096, 16):
+        got = [(r["a"], r["b"]) for r in near_dedup._joining_links(members, 75, most, most_fine, block).collect()]
+        assert all(linked(a, b) for a, b in got) and joined(got) == joined(all_links)
+        assert block == 16 or len(got) < len(sets)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 2**63, 800, dtype=np.uint64)
