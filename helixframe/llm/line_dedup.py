@@ -266,35 +266,45 @@ def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
 
 def near_lines(cand: DataFrame) -> DataFrame:
     """id of the candidates that have an earlier line within the bound."""
-    whole = cand.select("id", F.struct("doc", "rk", "line").alias("o"), "p0", "p1", "words")
+    facts = cand.select("id", "n", F.struct("doc", "rk", "line").alias("o"), "p0", "p1")
+    words = cand.select("id", "words")
     # rows of keys are many: they have no more than what rules most pairs out
     keys = cand.select("id", "doc", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
     keys = keys.select("id", "doc", "n", F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"))
 
+    def bounded(n, m):
+        """``edit_bound`` of lines of n and m words."""
+        longer = F.greatest(n, m)
+        return F.when(longer < SHORT, 0).otherwise(F.greatest(F.lit(1), F.floor(longer / 10)))
+
     def possible(a, b):
         """Whether b may be earlier than a, and lengths and places allow the bound."""
         n = {x: F.col(f"{x}n") for x in (a, b)}
-        longer = F.greatest(*n.values())
-        bound = F.when(longer < SHORT, 0).otherwise(F.greatest(F.lit(1), F.floor(longer / 10)))
+        bound = bounded(*n.values())
         off = F.col(f"{a}place") - F.col(f"{b}place")
         more = n[a] - n[b]
         moved = (F.col(f"{a}place") < 0) | (F.col(f"{b}place") < 0) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
         earlier = F.struct(f"{b}doc") <= F.struct(f"{a}doc")
         return (F.col(f"{a}id") != F.col(f"{b}id")) & earlier & (F.abs(more) <= bound) & moved
 
-    def verified(pairs):
-        """id of the later line of each pair (a, b) within the bound."""
-        side = lambda x: whole.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("o", "p0", "p1", "words")])
+    def likely(pairs):
+        """The distinct pairs (a, b) in which b is earlier and the parities of words allow the bound."""
+        side = lambda x: facts.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "o", "p0", "p1")])
         odd = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p1"))
-        p = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.col("b_o") < F.col("a_o")).select("a", "a_words", "b_words", odd.alias("odd"))
+        p = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        return p.where((F.col("b_o") < F.col("a_o")) & (odd <= 2 * bounded(F.col("a_n"), F.col("b_n")))).select("a", "b")
+
+    def verified(pairs, words):
+        """id of the later line of each pair (a, b) within the bound."""
+        side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+        p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
 
         def run(it):
             for r in it:
                 ok = []
-                for x, y, d in zip(r.column(1), r.column(2), r.column(3).to_pylist(), strict=True):
+                for x, y in zip(r.column(1), r.column(2), strict=True):
                     a, b = x.as_py().split(), y.as_py().split()
-                    bound = edit_bound(max(len(a), len(b)))
-                    ok.append(d <= 2 * bound and within_edits(a, b, bound))
+                    ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
                 yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["id"])
 
         return p.mapInArrow(run, "id long").distinct()
@@ -302,9 +312,12 @@ def near_lines(cand: DataFrame) -> DataFrame:
     named = lambda x: keys.select("key", *[F.col(c).alias(x + c) for c in ("id", "doc", "n", "place")])
     firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "id", "n", "place")).alias("o")).select("key", *[F.col(f"o.{c}").alias(f"b{c}") for c in ("id", "doc", "n", "place")])
     pair = [F.col("aid").alias("a"), F.col("bid").alias("b")]
-    found = _shared.store(verified(named("a").join(firsts, "key").where(possible("a", "b")).select(*pair)), "near-first")
+    found = _shared.store(verified(likely(named("a").join(firsts, "key").where(possible("a", "b")).select(*pair)), words), "near-first")
     left = named("a").join(found.select(F.col("id").alias("aid")), "aid", "left_anti")
-    rest = verified(left.join(named("b"), "key").where(possible("a", "b")).select(*pair))
+    # few pairs stay, of few lines: a written table has a known size, and Spark sends it to the words if it is small
+    rest = _shared.store(likely(left.join(named("b"), "key").where(possible("a", "b")).select(*pair)), "near-likely")
+    met = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rest = verified(rest, words.join(met, "id", "left_semi"))
     return _shared.store(found.unionByName(rest), "near-lines")
 
 
