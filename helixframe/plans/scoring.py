@@ -180,7 +180,7 @@ def bernoulli_suppress(t):
 def ad_dp_af(t):
     odd = F.col("l_linenumber") % 2
     a = t.lineitem.groupBy(F.col("l_returnflag").alias("contig"), F.col("l_orderkey").alias("pos")).agg(F.sum(1 - odd).alias("ref_count"), F.sum(odd).alias("alt_count"))
-    return a.withColumn("af", F.format_string("%.4f", F.bround(F.col("alt_count") / (F.col("ref_count") + F.col("alt_count")), 4)))
+    return a.withColumn("af", V.four_digits(F.col("alt_count") / (F.col("ref_count") + F.col("alt_count"))))
 
 
 @query("SELECT l_returnflag AS contig, l_orderkey AS pos, l_linenumber AS ref, l_suppkey AS alt, l_extendedprice AS price, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rank FROM lineitem")

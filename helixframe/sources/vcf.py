@@ -47,7 +47,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def truth_line(tag: str = "ORIGIN") -> Column:
     """A truth record of (contig, location 0-based, ref, alt, gt, provenance, ref_count, alt_count)."""
     dp = F.col("ref_count") + F.col("alt_count")
-    af = F.when(dp > 0, F.format_string("%.4f", F.bround(F.col("alt_count") / dp.cast("double"), 4))).otherwise(".")
+    af = F.when(dp > 0, V.four_digits(F.col("alt_count") / dp.cast("double"))).otherwise(".")
     sample = F.concat_ws(":", "gt", F.concat_ws(",", "ref_count", "alt_count"), dp, af)
     return F.concat_ws("\t", "contig", F.col("location") + 1, F.lit("."), "ref", "alt", F.lit("37"), F.lit("PASS"), F.concat(F.lit(f"{tag}="), "provenance"), F.lit("GT:AD:DP:AF"), sample)
 

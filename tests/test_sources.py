@@ -3,7 +3,9 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
+from helixframe.functions import variants as V
 from helixframe.sources import alignments, bed, model_files, sequences, tables, vcf
 
 
@@ -110,3 +112,12 @@ def test_model_files(spark, tmp_path):
     a = spark.createDataFrame([("x", 1.5)], "k string, v double")
     model_files.save({"a": a}, str(tmp_path / "m"))
     assert model_files.load(spark, str(tmp_path / "m"), {"a": "k string, v double"})["a"].first()["v"] == 1.5
+
+
+def test_four_digits_as_printf(spark):
+    # every share of 160 and of 32, 20000ths that end on a half, and shares of odd counts
+    shares = [(a, n) for n in (32, 160, 2000, 20000) for a in range(n + 1)] + [(a, 977) for a in range(978)]
+    df = spark.createDataFrame(shares, "a long, n long").select("a", "n", V.four_digits(F.col("a") / F.col("n").cast("double")).alias("x"))
+    assert [r for r in df.collect() if r["x"] != "%.4f" % (r["a"] / r["n"])] == []
+    v = spark.createDataFrame([("a", 9, "A", "C", "0/1", "input", 7, 153)], "contig string, location long, ref string, alt string, gt string, provenance string, ref_count int, alt_count int")
+    assert v.select(vcf.truth_line()).first()[0].endswith("0/1:7,153:160:0.9563")
