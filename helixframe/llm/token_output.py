@@ -63,6 +63,8 @@ class PieceTokenizer:
     TWO_BYTE_LEAD[0xC3:0xE0] = True
 
     LONGEST = 64
+    #: Bytes of pieces that are encoded as one text.
+    RUN = 16384
 
     def __init__(self, path: str, max_pieces: int = 600_000):
         from tokenizers import Tokenizer
@@ -130,21 +132,26 @@ class PieceTokenizer:
         out[got[~same]] = -1
         return out
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        """Ids of all texts, one after another."""
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        got = [e.ids for e in out]
-        n = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum()))
-        return flat, n
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in out]])
 
     def _encode_pieces(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        raw, edge = _gather(data, starts, ends).tobytes(), np.concatenate([[0], np.cumsum(ends - starts)]).tolist()
-        flat, n = self._encode([raw[a:b].decode() for a, b in zip(edge[:-1], edge[1:], strict=True)])
+        """(ids of all pieces, number of ids of each); pieces go to the tokenizer in runs that it is sure to cut where they meet."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw, edge = _gather(data, starts, ends), np.concatenate([[0], np.cumsum(ends - starts)])
+        sure, _ = self.cuts(raw, np.array([0, len(raw)]))
+        sure = np.isin(edge[:-1], sure, assume_unique=True)
+        sure[np.flatnonzero(np.diff(edge[:-1] // self.RUN, prepend=-1))] = False
+        text, cut = raw.tobytes(), np.append(edge[:-1][~sure], len(raw)).tolist()
+        flat = self._encode([text[a:b].decode() for a, b in zip(cut[:-1], cut[1:], strict=True)])
         own = np.concatenate([[0], np.cumsum(self.width[flat])])
-        edge = np.concatenate([[0], np.cumsum(n)])
-        if not np.array_equal(own[edge[1:]] - own[edge[:-1]], ends - starts):
+        at = np.searchsorted(own, edge)
+        if own[-1] != edge[-1] or not np.array_equal(own[at], edge):
             raise ValueError("the tokenizer does not keep the bytes of a text")
-        return flat, n.astype(np.int64)
+        return flat, np.diff(at)
 
     def cuts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of pieces, and each document's first piece (an empty document has none)."""

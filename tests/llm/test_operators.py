@@ -598,6 +598,27 @@ def test_token_output(spark, tmp_path):
     assert token_output.decode_files(spark, e, token_output.encode_documents(empty(spark), e, token_output.default_tokenizer())).count() == 0
 
 
+def test_new_pieces_go_to_the_tokenizer_in_runs():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    ends = ["", " ", "  ", "\n", "\n\n", ".", "7", "7,", "),", "é", "\u3000", "\t", "'ll", "...", "\r\n", "-"]
+    texts = ["".join(f"{a}x{rng.integers(10**6)}{b}" for a, b in zip(rng.choice([" ", "\n", ",", "é", "("], 40), rng.choice(ends, 40), strict=True)) for _ in range(300)]
+    raw = [x.encode() for x in texts]
+    plain = Tokenizer.from_file(token_output.default_tokenizer())
+    want = [[*plain.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    tok, seen = token_output.PieceTokenizer(token_output.default_tokenizer()), []
+    encode = tok._encode
+    tok._encode = lambda x: seen.append(len(x)) or encode(x)
+    ids, n = tok.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 2)
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    # many pieces a text, where each was a text of its own
+    words = b"".join(b" word%d" % k for k in range(50_000))
+    seen.clear()
+    tok.encode(np.frombuffer(words, np.uint8), np.array([0, len(words)]), 2)
+    assert 0 < sum(seen) < 100
+
+
 def test_equal_hashes_and_long_texts(spark, tmp_path):
     """Texts made to collide, and one beyond every piece that operators work on."""
     from tokenizers import Tokenizer
