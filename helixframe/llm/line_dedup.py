@@ -15,10 +15,11 @@ beyond, so of every 3 consecutive five-word grams (2 up to 20 words) the one wit
 the smallest hash is a key; lines that share such a run share one.
 
 Packs of distinct lines ask which of their keys another line has too
-(``_packs.exchange``); only lines with such a key go on as rows.  A line first
-tries the earliest line of each of its keys; lines that this does not settle are
-compared with all earlier ones that share a key, unless lengths, places or
-parities of words rule the bound out.  The edit distance is verified on the words.
+(``_packs.exchange``); only lines with such a key go on as rows.  Where the rows
+of a key meet, lengths, places and parities of words rule most pairs out before a
+row is made of them; a line first tries the earliest line of each key that they
+leave.  Only lines that this does not settle, and that had more to try, try all.
+The edit distance is verified on the words.
 
 Nulls: a null text has no lines; a null doc_id sorts first.  Rows that repeat a
 doc_id are told apart, and ordered, by a hash of their text; rows that repeat
@@ -45,6 +46,10 @@ LINE[10] = False
 SHORT, LONG = 5, 20
 #: Words of the grams that long lines are looked up by.
 GRAM = 5
+#: The bit of a key that tells grams from variants.
+RUN = 1 << 16
+#: Buckets of a line's words.
+BUCKETS = 128
 
 
 def edit_bound(n: int) -> int:
@@ -107,8 +112,8 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the deletion neighbourhood of each line: the whole line and it without a word."""
+def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the deletion neighbourhood of each line: the whole line (place -1) and it without the word at a place."""
     n = np.diff(ptr)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(wh)) - ptr[:-1][row]
@@ -118,7 +123,7 @@ def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(n[row] >= SHORT)
     r = row[at]
     less = finish((own[at] - own[ptr[:-1][r]]) + (moved[ptr[1:][r]] - moved[at + 1]), n[r] - 1)
-    return np.concatenate([np.arange(len(n)), r]), np.concatenate([whole, less])
+    return np.concatenate([np.arange(len(n)), r]), np.concatenate([np.full(len(n), -1), place[at]]), np.concatenate([whole, less])
 
 
 def run_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,35 +141,48 @@ def run_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
 
 
 def line_keys(data: np.ndarray, offs: np.ndarray):
-    """(words of each line, parities of its words, line of each key, its place, key), no key twice in a line.
+    """(word hashes, first word of each line, line of each key, its place, key), by ascending key, then line.
 
-    A key that a line has at several places has the place -1.  48 bits of each key:
-    lines that agree in them are candidates, no more.
+    A key may come several times in a line.  48 bits of each key: lines that agree
+    in them are candidates, no more.
     """
     _, _, ptr, wh = _text.words(data, offs, _text.NOT_SPACE, lower=False)
     n = np.diff(ptr)
-    bit = wh & U64(127)
-    halves = [np.where((bit >> U64(6)) == side, U64(1) << (bit & U64(63)), U64(0)) for side in (0, 1)]
-    xor = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(x)]) if len(x) else np.zeros(1, np.uint64) for x in halves]
-    parity = [(x[ptr[1:]] ^ x[ptr[:-1]]).view(np.int64) for x in xor]
-    found = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     short = np.flatnonzero((n >= SHORT - 1) & (n < LONG))
     if len(short):
         sp = np.concatenate([[0], np.cumsum(n[short])])
         at = np.repeat(ptr[:-1][short] - sp[:-1], n[short]) + np.arange(sp[-1])
-        row, key = variant_keys(wh[at], sp)
-        found.append((short[row], np.full(len(row), -1), key & ~U64(1 << 16)))
+        row, place, key = variant_keys(wh[at], sp)
+        # wholes come before variants: by line
+        by = np.argsort(row, kind="stable")
+        found.append((short[row[by]], place[by], key[by] & ~U64(RUN)))
     long = np.flatnonzero(n >= LONG - LONG // 10)
     if len(long):
         row, place, key = run_keys(wh, ptr[:-1][long], ptr[1:][long])
-        found.append((long[row], place, key | U64(1 << 16)))
-    row, place, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        found.append((long[row], place, key | U64(RUN)))
+    row, place, key = (np.concatenate(x) for x in zip(*found, strict=True))
     key = key & ~U64(0xFFFF)
-    by = np.lexsort((key, row))
-    row, place, key = row[by], place[by], key[by]
-    keep = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
-    many = np.diff(np.append(np.flatnonzero(keep), len(row))) > 1
-    return n, parity, row[keep], np.where(many, -1, place[keep]), key[keep]
+    by = np.argsort(key, kind="stable")
+    return wh, ptr, row[by], place[by], key[by]
+
+
+def repeats(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys as ``line_keys`` orders them: whether a key is new, and whether line and key are."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    own = new.copy()
+    own[1:] |= row[1:] != row[:-1]
+    return new, own
+
+
+def word_counts(wh: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+    """Of each line, how many of its words fall into each bucket of hashes, modulo 256."""
+    n = last - first
+    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    out = np.zeros(len(n) * buckets, np.uint8)
+    np.add.at(out, np.repeat(np.arange(len(n)) * buckets, n) + (wh[at] & U64(buckets - 1)).astype(np.int64), np.uint8(1))
+    return out.reshape(len(n), buckets)
 
 
 # --------------------------------------------------------------------- packs
@@ -223,7 +241,7 @@ def line_packs(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
     return _shared.store(per.mapInArrow(run, _packs.SCHEMA), "line-packs")
 
 
-CANDIDATE = "id long, lh binary, doc long, rk long, line long, n long, p0 long, p1 long, keys array<long>, places array<long>, words binary"
+CANDIDATE = "id long, lh binary, doc long, rk long, line long, n long, p0 long, p1 long, counts binary, keys array<long>, places array<long>, words binary"
 
 
 def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
@@ -237,25 +255,37 @@ def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
         for b in it:
             for pack, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
                 *_, offs, words = opened(body.as_py())
-                key = line_keys(words, offs)[-1]
-                yield pack, _packs.collapse(key, [], [np.ones(len(key), np.uint64)])[0]
+                _, _, row, _, key = line_keys(words, offs)
+                new, own = repeats(row, key)
+                lines_of = np.add.reduceat(own, np.flatnonzero(new), dtype=np.uint64) if len(key) else np.zeros(0, np.uint64)
+                yield pack, _packs.Entries(key[new], [], [lines_of])
 
     replies = _packs.exchange(packs, ask, lambda e: ([(e.counts[0] > 1).astype(np.uint64)], []), packs.count(), **dealt)
 
     def finish(pack, rows):
         lh, doc, null, rk, line, offs, words = opened(rows[0][2])
-        n, parity, row, place, key = line_keys(words, offs)
+        wh, ptr, row, place, key = line_keys(words, offs)
         if not len(key):
             return
         held = _packs.replied([body for _, kind, body in rows if kind == 2])[0]
-        use = held[np.unique(key, return_inverse=True)[1]] > 0
+        new, first = repeats(row, key)
+        # a key that a line has at several places has the place -1
+        place = np.where(np.append(first[1:], True), place, -1)
+        use = np.flatnonzero(first & (held[np.cumsum(new) - 1] > 0))
+        use = use[np.argsort(row[use], kind="stable")]
         row, place, key = row[use], place[use], key[use].view(np.int64)
         own, at = np.unique(row, return_index=True)
         ends = pa.array(np.append(at, len(row)).astype(np.int32))
+        n = np.diff(ptr)[own]
+        counts = np.zeros((len(own), BUCKETS), np.uint8)
+        for i in range(0, len(own), 4096):
+            x = own[i : i + 4096]
+            counts[i : i + 4096] = word_counts(wh, ptr[:-1][x], ptr[1:][x], BUCKETS)
+        parity = np.packbits(counts & 1, axis=1).view(np.int64).T
         raw = words.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(pack << 20 | own), pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n[own], pa.int64()), *[pa.array(p[own]) for p in parity],
+                pa.array(pack << 20 | own), pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n, pa.int64()), *[pa.array(p) for p in parity], pa.array([x.tobytes() for x in counts], pa.binary()),
                 *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, place)], pa.array([raw[offs[k] : offs[k + 1]] for k in own.tolist()], pa.binary()),
             ],
             names=[x.strip().split(" ")[0] for x in CANDIDATE.split(",")],
@@ -264,61 +294,132 @@ def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
     return _packs.by_dest(packs.unionByName(replies.withColumn("kind", F.lit(2))), finish, CANDIDATE)
 
 
+class Groups:
+    """Rows of keys, in order of (key, place of the line in the corpus): which earlier lines of a key may be within the bound."""
+
+    def __init__(self, key, n, place, p0, p1):
+        self.key, self.n, self.place, self.p0, self.p1 = key, n, place, p0.view(np.uint64), p1.view(np.uint64)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        self.pos = np.arange(len(key)) - self.start
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether lengths, places and parities of words of rows a and b allow the bound."""
+        n, m, pa_, pb = self.n[a], self.n[b], self.place[a], self.place[b]
+        longer, more, off = np.maximum(n, m), n - m, pa_ - pb
+        bound = np.where(longer < SHORT, 0, np.maximum(1, longer // 10))
+        # lines of one length that are one edit apart lack the same place of a variant that they share, and they share that one
+        moved = np.where(self.key[a] & RUN, np.maximum(np.abs(off), np.abs(off - more)) <= bound, off == 0)
+        odd = np.bitwise_count(self.p0[a] ^ self.p0[b]).astype(np.int64) + np.bitwise_count(self.p1[a] ^ self.p1[b])
+        return (np.abs(more) <= bound) & ((pa_ < 0) | (pb < 0) | moved) & (odd <= 2 * bound)
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, its earliest likely row, whether there may be more) of rows that have one."""
+        found = np.full(len(self.key), -1)
+        k, at = 0, np.flatnonzero(self.pos > 0)
+        while len(at):
+            b = self.start[at] + k
+            ok = self.likely(at, b)
+            found[at[ok]] = b[ok]
+            k += 1
+            at = at[~ok]
+            at = at[self.pos[at] > k]
+        a = np.flatnonzero(found >= 0)
+        return a, found[a], found[a] + 1 < a
+
+    def all(self, asked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, likely row), by row, of each asked row and all earlier ones of its key; the counts of their words allow the bound too."""
+        out = [(np.zeros(0, np.int64),) * 2]
+        k, at = 0, np.flatnonzero(asked & (self.pos > 0))
+        while len(at):
+            a = at[self.likely(at, self.start[at] + k)]
+            b = self.start[a] + k
+            bound = np.maximum(1, np.maximum(self.n[a], self.n[b]) // 10)
+            off = (counts[a] - counts[b]).view(np.int8).astype(np.int64)
+            more, less = np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1)
+            # an edit takes one word and gives one; counts are modulo 256, so that beyond 127 signs may be wrong
+            ok = np.where(bound < 128, np.maximum(more, less) <= bound, more + less <= 2 * bound)
+            out.append((a[ok], b[ok]))
+            k += 1
+            at = at[self.pos[at] > k]
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        by = np.argsort(a, kind="stable")
+        return a[by], b[by]
+
+
+def likely_pairs(keys: DataFrame, every: bool = False) -> DataFrame:
+    """a, b, key, open: lines and the earliest likely line of each of their keys; every: a, bs: all likely lines of those asked, a row a key."""
+    order = ["key", "doc", "rk", "line"]
+    rows = keys.repartition("key").sortWithinPartitions(*order).select("key", "id", "n", "place", "p0", "p1", *(["asked", "counts"] if every else []))
+
+    def pairs(t: pa.Table):
+        col = lambda c: t.column(c).to_numpy()
+        g = Groups(*[col(c) for c in ("key", "n", "place", "p0", "p1")])
+        ids = col("id")
+        if every:
+            a, b = g.all(col("asked"), np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS))
+            own, at = np.unique(a, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)).astype(np.int32)), pa.array(ids[b]))], names=["a", "bs"])
+            return
+        a, b, more = g.first()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(g.key[a]), pa.array(more)], names=["a", "b", "key", "open"])
+
+    def run(it):
+        held, size = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            held, size = [*held, b], size + b.num_rows
+            last = b.column(0)[b.num_rows - 1]
+            # whole keys only: the last one of these rows may go on
+            if size >= 1 << 17 and held[0].column(0)[0] != last:
+                t = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(t.column("key").to_numpy(), last.as_py()))
+                yield from pairs(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = t.num_rows - cut
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a long, bs array<long>" if every else "a long, b long, key long, open boolean")
+
+
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """id of the later line of each of the distinct pairs (a, b) within the bound."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    words = words.join(met, "id", "left_semi")
+    side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
+
+    def run(it):
+        for r in it:
+            ok = []
+            for x, y in zip(r.column(1), r.column(2), strict=True):
+                a, b = x.as_py().split(), y.as_py().split()
+                ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
+            yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["id"])
+
+    return p.mapInArrow(run, "id long").distinct()
+
+
 def near_lines(cand: DataFrame) -> DataFrame:
     """id of the candidates that have an earlier line within the bound."""
-    facts = cand.select("id", "n", F.struct("doc", "rk", "line").alias("o"), "p0", "p1")
     words = cand.select("id", "words")
-    # rows of keys are many: they have no more than what rules most pairs out
-    keys = cand.select("id", "doc", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    keys = keys.select("id", "doc", "n", F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"))
-
-    def bounded(n, m):
-        """``edit_bound`` of lines of n and m words."""
-        longer = F.greatest(n, m)
-        return F.when(longer < SHORT, 0).otherwise(F.greatest(F.lit(1), F.floor(longer / 10)))
-
-    def possible(a, b):
-        """Whether b may be earlier than a, and lengths and places allow the bound."""
-        n = {x: F.col(f"{x}n") for x in (a, b)}
-        bound = bounded(*n.values())
-        off = F.col(f"{a}place") - F.col(f"{b}place")
-        more = n[a] - n[b]
-        moved = (F.col(f"{a}place") < 0) | (F.col(f"{b}place") < 0) | (F.greatest(F.abs(off), F.abs(off - more)) <= bound)
-        earlier = F.struct(f"{b}doc") <= F.struct(f"{a}doc")
-        return (F.col(f"{a}id") != F.col(f"{b}id")) & earlier & (F.abs(more) <= bound) & moved
-
-    def likely(pairs):
-        """The distinct pairs (a, b) in which b is earlier and the parities of words allow the bound."""
-        side = lambda x: facts.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "o", "p0", "p1")])
-        odd = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p1"))
-        p = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        return p.where((F.col("b_o") < F.col("a_o")) & (odd <= 2 * bounded(F.col("a_n"), F.col("b_n")))).select("a", "b")
-
-    def verified(pairs, words):
-        """id of the later line of each pair (a, b) within the bound."""
-        side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
-        p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
-
-        def run(it):
-            for r in it:
-                ok = []
-                for x, y in zip(r.column(1), r.column(2), strict=True):
-                    a, b = x.as_py().split(), y.as_py().split()
-                    ok.append(within_edits(a, b, edit_bound(max(len(a), len(b)))))
-                yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(ok, pa.bool_()))], names=["id"])
-
-        return p.mapInArrow(run, "id long").distinct()
-
-    named = lambda x: keys.select("key", *[F.col(c).alias(x + c) for c in ("id", "doc", "n", "place")])
-    firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "id", "n", "place")).alias("o")).select("key", *[F.col(f"o.{c}").alias(f"b{c}") for c in ("id", "doc", "n", "place")])
-    pair = [F.col("aid").alias("a"), F.col("bid").alias("b")]
-    found = _shared.store(verified(likely(named("a").join(firsts, "key").where(possible("a", "b")).select(*pair)), words), "near-first")
-    left = named("a").join(found.select(F.col("id").alias("aid")), "aid", "left_anti")
-    # few pairs stay, of few lines: a written table has a known size, and Spark sends it to the words if it is small
-    rest = _shared.store(likely(left.join(named("b"), "key").where(possible("a", "b")).select(*pair)), "near-likely")
-    met = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rest = verified(rest, words.join(met, "id", "left_semi"))
-    return _shared.store(found.unionByName(rest), "near-lines")
+    keys = cand.select("id", "doc", "rk", F.col("line").cast("int").alias("line"), F.col("n").cast("int").alias("n"), "p0", "p1", "counts", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keys = keys.select(F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"), "id", "doc", "rk", "line", "n", "p0", "p1", "counts")
+    # tables that are written have a known size, and Spark sends them to the other side if they are small
+    first = _shared.store(likely_pairs(keys.drop("counts")), "near-likely")
+    found = _shared.store(verified(_shared.store(first.select("a", "b").distinct(), "near-pairs"), words), "near-first")
+    # lines whose earliest likely line is not near, but which had more to try, try all
+    left = _shared.store(first.where("open").join(found, F.col("a") == F.col("id"), "left_anti").select("key", F.col("a").alias("id")).distinct(), "near-open")
+    _shared.drop(first)
+    asked = left.withColumn("asked", F.lit(True))
+    again = keys.join(left.select("key").distinct(), "key", "left_semi").join(asked, ["key", "id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    # lines share many keys: one list of lines to try for each, however many keys name them
+    each = likely_pairs(again, every=True).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    rest = verified(_shared.store(each.select("a", F.explode("bs").alias("b")), "near-rest"), words)
+    return _shared.store(found.unionByName(rest).distinct(), "near-lines")
 
 
 # ----------------------------------------------------------------- operators

@@ -170,6 +170,61 @@ def test_line_dedup_repeated_ids(spark):
     assert line_dedup.dropped_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_in_hot_groups(spark):
+    """Copies of a line with a word of their own each share a key; pairs of them grow in proportion, and none is lost."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    short, long = list(rng.choice(WORDS, 12)), list(rng.choice(WORDS, 70)) + [f"w{k}" for k in range(30)]
+
+    def lines_of(g):
+        out = [" ".join([*short[:6], f"x{i}", *short[7:]]) for i in range(g)]  # near each other at one word
+        for i in range(g // 2):  # a hot passage between words of their own; some are near an earlier one
+            x = [f"y{i if i % 5 else i - i % 10}.{k}" for k in range(40)]
+            x[int(rng.integers(40))] = f"z{i}"
+            out.append(" ".join(x + long[70:90]))
+        for i in range(g // 2):  # copies of a long line with 12 words changed each: more than a tenth between them
+            x = list(long)
+            for at in rng.choice(100, 12, replace=False):
+                x[at] = f"v{i}.{at}"
+            out.append(" ".join(x))
+        return out
+
+    made = {}
+    for g in (40, 160):
+        raw = lines_of(g)
+        docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+        got = sorted(r["doc"] for r in line_dedup.dropped_lines(docs).collect() if r["near"])
+        assert got == sorted(i for i, x in brute_lines(enumerate(raw)).items() if x[1])
+        cand = line_dedup.candidates(line_dedup.line_packs(docs))
+        keys = cand.select("id", "doc", "rk", "line", "n", "p0", "p1", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+        made[g] = line_dedup.likely_pairs(keys.select("*", F.col("k.keys").alias("key"), F.col("k.places").alias("place"))).count()
+    assert made[160] < 6 * made[40]
+
+
+def test_word_counts_allow_what_edits_do():
+    rng = np.random.default_rng(5)
+    for n in (20, 90, 1500):
+        wh = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        rows = [rng.integers(0, 40, n)]
+        for _ in range(6):  # as many edits as the bound has, words that repeat
+            x = rows[0].tolist()
+            for _ in range(n // 10):
+                at, what = int(rng.integers(len(x) - 1)), rng.integers(3)
+                x[at : at + int(what != 0)] = [] if what == 1 else [0]
+            rows.append(np.array(x))
+        ptr = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        flat = wh[np.concatenate(rows)]
+        counts = line_dedup.word_counts(flat, ptr[:-1], ptr[1:], line_dedup.BUCKETS)
+        zero = np.zeros(7, np.int64)
+        parity = np.packbits(counts & 1, axis=1).view(np.int64).T
+        g = line_dedup.Groups(zero, np.diff(ptr), zero - 1, *[p.copy() for p in parity])
+        # every row with the first one
+        asked = np.array([False] + [True] * 6)
+        a, b = g.all(asked, counts)
+        assert set(a[b == 0].tolist()) == {k for k in range(1, 7) if abs(len(rows[k]) - n) <= max(n, len(rows[k])) // 10}
+
+
 def test_within_edits():
     rng = np.random.default_rng(3)
     for _ in range(400):
