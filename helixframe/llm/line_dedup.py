@@ -406,16 +406,18 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def near_lines(cand: DataFrame) -> DataFrame:
     """id of the candidates that have an earlier line within the bound."""
     words = cand.select("id", "words")
-    keys = cand.select("id", "doc", "rk", F.col("line").cast("int").alias("line"), F.col("n").cast("int").alias("n"), "p0", "p1", "counts", F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    keys = keys.select(F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"), "id", "doc", "rk", "line", "n", "p0", "p1", "counts")
+    keys = cand.select("id", "doc", "rk", F.col("line").cast("int").alias("line"), F.col("n").cast("int").alias("n"), "p0", "p1", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keys = keys.select(F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"), "id", "doc", "rk", "line", "n", "p0", "p1")
     # tables that are written have a known size, and Spark sends them to the other side if they are small
-    first = _shared.store(likely_pairs(keys.drop("counts")), "near-likely")
+    first = _shared.store(likely_pairs(keys), "near-likely")
     found = _shared.store(verified(_shared.store(first.select("a", "b").distinct(), "near-pairs"), words), "near-first")
     # lines whose earliest likely line is not near, but which had more to try, try all
     left = _shared.store(first.where("open").join(found, F.col("a") == F.col("id"), "left_anti").select("key", F.col("a").alias("id")).distinct(), "near-open")
     _shared.drop(first)
     asked = left.withColumn("asked", F.lit(True))
     again = keys.join(left.select("key").distinct(), "key", "left_semi").join(asked, ["key", "id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    # counts of words join what is left of the rows of keys, which are many
+    again = again.join(cand.select("id", "counts"), "id")
     # lines share many keys: one list of lines to try for each, however many keys name them
     each = likely_pairs(again, every=True).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
     rest = verified(_shared.store(each.select("a", F.explode("bs").alias("b")), "near-rest"), words)
