@@ -98,10 +98,15 @@ def _loader(data: np.ndarray) -> np.ndarray:
 
 def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
     size = end - start
-    out = [mix(size.astype(np.uint64) + lane) for lane in LANES[:lanes]]
     at = _loader(data)
-    live = np.flatnonzero((size > 0) & (size <= LONG))
-    p, left = start[live], size[live]
+    # most ranges are words of eight bytes at most: the first step is made for all
+    w = at[start] & _MASK[np.minimum(size, 8)]
+    out = []
+    for k, lane in enumerate(LANES[:lanes]):
+        h = mix(size.astype(np.uint64) + lane)
+        out.append(np.where(size > 0, mix(h ^ (w if k == 0 else mix(w + lane))), h))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    p, left = start[live] + 8, size[live] - 8
     while len(live):
         w = at[p] & _MASK[np.minimum(left, 8)]
         for k, h in enumerate(out):

@@ -5,21 +5,24 @@ Lines are compared as word sequences.  A line is dropped if an earlier one, by
 (insertion, deletion, substitution): none where the longer of both has less than
 5 words, one from there, a tenth of its words from 20.  Blank lines stay.
 
-Equal lines collapse first (by a 128-bit BLAKE2b digest), combined on the map
-side.  A distinct line below 20 words emits its deletion neighbourhood: itself
-and itself without each of its words, as hashed keys; two lines within one edit
-share a variant.  For larger bounds the neighbourhood explodes, so a longer line
-emits what the edits within its bound cannot destroy altogether: k edits leave a
-run of at least (n - k) / (k + 1) words, which is 6 for n = 20 and 7 or more
-beyond, so of every 3 consecutive five-word grams (2 up to 20 words) the one with
-the smallest hash is a key; lines that share such a run share one.
-
-Packs of distinct lines ask which of their keys another line has too
-(``_packs.exchange``); only lines with such a key go on as rows.  Where the rows
-of a key meet, lengths, places and parities of words rule most pairs out before a
-row is made of them; a line first tries the earliest line of each key that they
-leave.  Only lines that this does not settle, and that had more to try, try all.
-The edit distance is verified on the words.
+Packs of whole documents hold their distinct lines and ask, by a 128-bit BLAKE2b
+digest, which is the earliest of its kind in the corpus (``_packs.exchange``).  A
+distinct line below 20 words emits its deletion neighbourhood: itself and itself
+without each of its words, as hashed keys; two lines within one edit share a
+variant.  For larger bounds the neighbourhood explodes, so a longer line emits
+what the edits within its bound cannot destroy altogether: k edits leave a run of
+at least (n - k) / (k + 1) words, which is 6 for n = 20, 7 or more beyond, 8 or
+more from 32 and 9 from 81.  Of the grams of five words (six for pairs from 32
+words) that such a run holds, that with the smallest hash is a key; lines that
+share the run share one.
+
+Packs ask as well which of their keys another line has too; only lines with such
+a key go on as rows.  Where the rows of a key meet, lengths, places and parities
+of words rule most pairs out before a row is made of them; a line first tries the
+earliest line of each key that they leave.  Only lines that this does not settle,
+and that had more to try, try all: the earliest NAMED of a key are at hand then,
+and where it had more, all rows of the key.  The edit distance is verified on the
+words.
 
 Nulls: a null text has no lines; a null doc_id sorts first.  Rows that repeat a
 doc_id are told apart, and ordered, by a hash of their text; rows that repeat
@@ -40,16 +43,16 @@ from pyspark.sql import functions as F
 from . import _packs, _shared, _text
 
 U64 = np.uint64
-LINE = np.ones(256, bool)
-LINE[10] = False
 #: Fewest words of the longer of two lines within one edit, and within more.
 SHORT, LONG = 5, 20
-#: Words of the grams that long lines are looked up by.
-GRAM = 5
+#: Pairs of which the longer line has so many words at least leave runs of 8 words, and of 9.
+MIDDLE, FULL = 32, 81
 #: The bit of a key that tells grams from variants.
 RUN = 1 << 16
 #: Buckets of a line's words.
 BUCKETS = 128
+#: Likely lines that the rows of a key name for a line; beyond, all rows of the key stay at hand.
+NAMED = 8
 
 
 def edit_bound(n: int) -> int:
@@ -87,15 +90,9 @@ def within_edits(a: list[bytes], b: list[bytes], k: int) -> bool:
     return False
 
 
-def split_lines(data: np.ndarray, offs: np.ndarray):
-    """Non-blank lines: (document, line number, start, end)."""
-    s, e, ptr = _text.spans(data, offs, LINE)
-    ws, _, _ = _text.spans(data, offs, _text.NOT_SPACE)
-    doc = np.searchsorted(ptr, np.arange(len(s)), "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    number = breaks[s] - breaks[offs[doc]]
-    ok = np.searchsorted(ws, e) > np.searchsorted(ws, s)
-    return doc[ok], number[ok], s[ok], e[ok]
+def split_lines(text: bytes) -> list[tuple[int, bytes]]:
+    """(line number, words with a space between) of the non-blank lines."""
+    return [(k, w) for k, line in enumerate(text.split(b"\n")) if (w := b" ".join(line.split()))]
 
 
 # ---------------------------------------------------------------------- keys
@@ -127,17 +124,49 @@ def variant_keys(wh: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def run_keys(wh: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, key) of the smallest of consecutive five-word grams of each line."""
-    h = _text.combine(wh, GRAM)
-    picked = np.zeros(len(h), bool)
-    for w, own in ((3, last - first > LONG), (2, last - first <= LONG)):
-        n = np.maximum(last - first - GRAM + 1 - w + 1, 0) * own
-        i = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        if len(i):
-            picked[i + np.stack([h[i + k] for k in range(w)]).argmin(axis=0)] = True
-    at = np.flatnonzero(picked)
-    row = np.searchsorted(first, at, "right") - 1
-    return row, at - first[row], h[at]
+    """(line, place, key) of the smallest of consecutive grams of each line.
+
+    Grams of five words for pairs below MIDDLE words, of six for the others; a
+    window of grams spans the run that the edits of the pair leave.  The least of
+    a window is that of any smaller one around it, so lines of a pair may have
+    windows of two sizes.
+    """
+    n, found = last - first, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    least = MIDDLE - MIDDLE // 10
+    for gram, w, own in ((5, 2, n <= LONG), (5, 3, (n > LONG) & (n < MIDDLE)), (6, 3, (n >= least) & (n < FULL)), (6, 4, n >= FULL)):
+        lines = np.flatnonzero(own & (n >= gram + w - 1))
+        if not len(lines):
+            continue
+        ptr = np.concatenate([[0], np.cumsum(n[lines])])
+        h = _text.combine(wh[np.repeat(first[lines] - ptr[:-1], n[lines]) + np.arange(ptr[-1])], gram)
+        # windows by their first gram, those inside a line
+        inside = np.zeros(len(h) + 1, np.int8)
+        inside[ptr[:-1]] = 1
+        inside[ptr[1:] - gram + 1 - w + 1] = -1
+        best, off = h[: len(h) - w + 1], np.zeros(len(h) - w + 1, np.int8)
+        for k in range(1, w):
+            other = h[k : len(h) - w + 1 + k]
+            np.maximum(off, (other < best).view(np.int8) * np.int8(k), out=off)
+            best = np.minimum(best, other)
+        i = np.flatnonzero(np.cumsum(inside, dtype=np.int8)[: len(off)].view(bool))
+        picked = np.zeros(len(h), bool)
+        picked[i + off[i]] = True
+        at = np.flatnonzero(picked)
+        row = np.repeat(np.arange(len(lines)), np.diff(np.searchsorted(at, ptr)))
+        found.append((lines[row], at - ptr[row], h[at]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def line_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each line, word hashes) of lines with a space between words."""
+    space = np.flatnonzero(data == 32)
+    ptr = np.searchsorted(space, offs) + np.arange(len(offs))
+    inner = np.ones(len(space) + len(offs) - 1, bool)
+    s, e = np.empty(len(inner), np.int64), np.empty(len(inner), np.int64)
+    inner[ptr[:-1]] = False
+    s[inner], s[~inner] = space + 1, offs[:-1]
+    e[:-1][inner[1:]], e[ptr[1:] - 1] = space, offs[1:]
+    return ptr, _text.range_hash(data, s, e)
 
 
 def line_keys(data: np.ndarray, offs: np.ndarray):
@@ -146,7 +175,7 @@ def line_keys(data: np.ndarray, offs: np.ndarray):
     A key may come several times in a line.  48 bits of each key: lines that agree
     in them are candidates, no more.
     """
-    _, _, ptr, wh = _text.words(data, offs, _text.NOT_SPACE, lower=False)
+    ptr, wh = line_words(data, offs)
     n = np.diff(ptr)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     short = np.flatnonzero((n >= SHORT - 1) & (n < LONG))
@@ -163,7 +192,12 @@ def line_keys(data: np.ndarray, offs: np.ndarray):
         found.append((long[row], place, key | U64(RUN)))
     row, place, key = (np.concatenate(x) for x in zip(*found, strict=True))
     key = key & ~U64(0xFFFF)
-    by = np.argsort(key, kind="stable")
+    # a sort that keeps the order of equal keys is slower by far than one that does not and another of these
+    by = np.argsort(key)
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[by[1:]] == key[by[:-1]]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    by[tied] = by[tied][np.lexsort((by[tied], key[by[tied]]))]
     return wh, ptr, row[by], place[by], key[by]
 
 
@@ -193,105 +227,166 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("rk"), text.alias("text"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """lh (digest of the words), doc, rk, line, words; a line of a batch's earlier rows is left out."""
-
-    def run(it):
-        for b, data, offs in _text.batches(it, "text"):
-            doc, number, s, e = split_lines(data, offs)
-            raw = data.tobytes()
-            words = [b" ".join(raw[x:y].split()) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in words], pa.binary()), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(words, pa.binary())],
-                names=["lh", "doc", "rk", "line", "words"],
-            )
-
-    return _keyed(docs).mapInArrow(run, "lh binary, doc long, rk long, line long, words binary")
-
-
 def line_packs(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
-    """Packs of distinct lines, each with its first place: (digests, doc, whether null, rk, line, offsets, words)."""
-    per = lines(docs).groupBy("lh").agg(F.min(F.struct("doc", "rk", "line")).alias("o"), F.first("words").alias("words"))
-    per = per.select("lh", "o.doc", "o.rk", "o.line", "words")
+    """Packs of whole documents and their distinct lines.
+
+    Of documents: doc, whether null, rk, first line; of lines: number, distinct
+    line; of distinct lines, by digest: digest, earliest line, offsets, words.
+    """
 
     def run(it):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        held, words, number, ptr, size = [], [], [], [0], 0
 
-        def flush(held):
+        def flush():
             t = pa.Table.from_batches(held)
-            lh, _ = _text.buffers(t.column("lh"))
-            words, offs = _text.buffers(t.column("words"))
-            number = lambda c: t.column(c).fill_null(0).to_numpy()
+            doc, rk = (t.column(c).fill_null(0).to_numpy() for c in ("doc", "rk"))
             null = np.asarray(t.column("doc").is_null()).astype(np.uint8)
-            return _packs.batch([(part << 22 | seq, t.num_rows, 0, _packs.squeeze(np.ascontiguousarray(lh).view(np.uint64), number("doc"), null, number("rk"), number("line"), offs, words, level=3))])
-
-        for b, data, _ in _text.batches(it, "words", 1 << 20):
-            # a line takes 9 bytes here at least, so that its number in the pack has 20 bits
-            if size and size + len(data) + 9 * b.num_rows > pack_bytes:
-                yield flush(held)
-                held, size, seq = [], 0, seq + 1
-            held.append(b)
-            size += len(data) + 9 * b.num_rows
+            index: dict[bytes, int] = {}
+            which = np.array([index.setdefault(w, len(index)) for w in words], np.int32)
+            lh = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in index), np.uint64).reshape(-1, 2)
+            by = np.lexsort((lh[:, 1], lh[:, 0]))
+            at = np.empty(len(by), np.int32)
+            at[by] = np.arange(len(by))
+            which = at[which]
+            by_place = np.lexsort((rk, doc, 1 - null))
+            rank = np.empty(len(doc), np.int64)
+            rank[by_place] = np.arange(len(doc))
+            line = np.array(number, np.int32)
+            by_line = np.lexsort((line, np.repeat(rank, np.diff(ptr)), which))
+            first = by_line[np.searchsorted(which[by_line], np.arange(len(by)))].astype(np.int32)
+            distinct = list(index)
+            distinct = [distinct[k] for k in by.tolist()]
+            offs = np.concatenate([[0], np.cumsum([len(w) for w in distinct])]).astype(np.int64)
+            body = _packs.squeeze(doc, null, rk, np.array(ptr, np.int64), line, which, lh[by], first, offs, np.frombuffer(b"".join(distinct), np.uint8), level=3)
+            return _packs.batch([(part << 15 | seq, len(by), 0, body)])
+
+        for b, data, offs in _text.batches(it, "text", min(pack_bytes, 1 << 20)):
+            if size and size + len(data) + b.num_rows > pack_bytes:
+                yield flush()
+                seq += 1
+                held, words, number, ptr, size = [], [], [], [0], 0
+            raw = data.tobytes()
+            for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                for k, w in split_lines(raw[i:j]):
+                    number.append(k)
+                    words.append(w)
+                ptr.append(len(words))
+            held.append(b.select(["doc", "rk"]))
+            size += len(data) + b.num_rows
         if held:
-            yield flush(held)
+            yield flush()
 
-    return _shared.store(per.mapInArrow(run, _packs.SCHEMA), "line-packs")
+    return _shared.store(_keyed(docs).mapInArrow(run, _packs.SCHEMA), "line-packs")
 
 
-CANDIDATE = "id long, lh binary, doc long, rk long, line long, n long, p0 long, p1 long, counts binary, keys array<long>, places array<long>, words binary"
+CANDIDATE = "id long, doc long, rk long, line long, n long, p0 long, p1 long, counts binary, keys array<long>, places array<long>, words binary"
+#: Of a row of a document: its non-blank lines, and those equal to an earlier one.
+SETTLED = CANDIDATE + ", n_lines long, equal array<long>"
 
 
-def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
-    """Lines (CANDIDATE) with a key that is not theirs alone, and those keys."""
+def settled(packs: DataFrame, **dealt: int) -> DataFrame:
+    """Two kinds of rows (SETTLED): of each document (no id), and of each line with a key that is not its own alone, with those keys (CANDIDATE).
+
+    A line of several packs counts for its keys in each of them, so a key is of
+    another line too if its count is above that of the packs that hold the line.
+    """
 
     def opened(body):
-        lh, doc, null, rk, line, offs, words = _packs.expand(body)
-        return lh.reshape(-1, 2), doc, null.astype(bool), rk, line, offs, words
+        doc, null, rk, ptr, line, which, lh, first, offs, words = _packs.expand(body)
+        return doc, null.astype(bool), rk, ptr, line, which, lh.reshape(-1, 2), first, offs, words
 
-    def ask(it):
+    def places(doc, null, rk, ptr, line, at):
+        """(whether not null, doc, rk, number) of lines."""
+        d = np.searchsorted(ptr, at, "right") - 1
+        return (~null[d]).astype(np.uint8), doc[d], rk[d], line[at]
+
+    def ask_lines(it):
+        for b in it:
+            for pack, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                doc, null, rk, ptr, line, _, lh, first, *_ = opened(body.as_py())
+                yield pack, _packs.Entries(lh[:, 0], [lh[:, 1], *places(doc, null, rk, ptr, line, first), np.full(len(lh), pack)], [])
+                _text.give_back()
+
+    def answer_lines(e):
+        """Of each pack's line: 2 for the earliest place, 1 for the same place in another pack (a repeated row), else 0; packs that hold the line."""
+        lo, *place, _ = e.extra
+        new = np.ones(len(e), bool)
+        new[1:] = (e.keys[1:] != e.keys[:-1]) | (lo[1:] != lo[:-1])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        same = np.logical_and.reduce([x == x[start[group]] for x in place])
+        return [same.astype(np.uint64) + new, np.diff(start, append=len(e)).astype(np.uint64)[group]], []
+
+    def ask_keys(it):
         for b in it:
             for pack, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
                 *_, offs, words = opened(body.as_py())
                 _, _, row, _, key = line_keys(words, offs)
                 new, own = repeats(row, key)
                 lines_of = np.add.reduceat(own, np.flatnonzero(new), dtype=np.uint64) if len(key) else np.zeros(0, np.uint64)
-                yield pack, _packs.Entries(key[new], [], [lines_of])
+                e = _packs.Entries(key[new], [], [lines_of])
+                del words, row, key, new, own, lines_of
+                _text.give_back()
+                yield pack, e
+
+    n_packs = packs.count()
+    of_lines = _packs.exchange(packs, ask_lines, answer_lines, n_packs, **dealt)
+    of_keys = _packs.exchange(packs, ask_keys, lambda e: ([e.counts[0]], []), n_packs, **dealt)
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    types = {c: kinds[kind] for c, kind in (x.split() for x in SETTLED.split(","))}
+
+    def rows_of(columns):
+        size = len(columns["doc"])
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, kind) for c, kind in types.items()], names=list(types))
 
-    replies = _packs.exchange(packs, ask, lambda e: ([(e.counts[0] > 1).astype(np.uint64)], []), packs.count(), **dealt)
+    def lists(ends, values):
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int64()))
 
     def finish(pack, rows):
-        lh, doc, null, rk, line, offs, words = opened(rows[0][2])
-        wh, ptr, row, place, key = line_keys(words, offs)
+        doc, null, rk, ptr, line, which, _, first, offs, words = opened(rows[0][2])
+        replies = lambda kind: _packs.replied([body for _, k, body in rows if k == kind])
+        flag, held_by = replies(3) or [np.zeros(0, np.uint64)] * 2
+        own = places(doc, null, rk, ptr, line, np.arange(len(line)))
+        same = np.logical_and.reduce([x == x[first[which]] for x in own])
+        equal = np.flatnonzero(~(same & (flag[which] > 0)))
+        yield rows_of({"doc": pa.array(doc, mask=null), "rk": pa.array(rk), "n_lines": pa.array(np.diff(ptr)), "equal": lists(np.searchsorted(equal, ptr), line[equal].astype(np.int64))})
+
+        wh, wptr, row, place, key = line_keys(words, offs)
         if not len(key):
             return
-        held = _packs.replied([body for _, kind, body in rows if kind == 2])[0]
-        new, first = repeats(row, key)
+        new, once = repeats(row, key)
         # a key that a line has at several places has the place -1
-        place = np.where(np.append(first[1:], True), place, -1)
-        use = np.flatnonzero(first & (held[np.cumsum(new) - 1] > 0))
+        place = np.where(np.append(once[1:], True), place, -1)
+        total = replies(2)[0][np.cumsum(new) - 1]
+        use = np.flatnonzero(once & (total > held_by[row]) & (flag[row] == 2))
         use = use[np.argsort(row[use], kind="stable")]
         row, place, key = row[use], place[use], key[use].view(np.int64)
         own, at = np.unique(row, return_index=True)
-        ends = pa.array(np.append(at, len(row)).astype(np.int32))
-        n = np.diff(ptr)[own]
+        ends = np.append(at, len(row))
         counts = np.zeros((len(own), BUCKETS), np.uint8)
         for i in range(0, len(own), 4096):
             x = own[i : i + 4096]
-            counts[i : i + 4096] = word_counts(wh, ptr[:-1][x], ptr[1:][x], BUCKETS)
-        parity = np.packbits(counts & 1, axis=1).view(np.int64).T
+            counts[i : i + 4096] = word_counts(wh, wptr[:-1][x], wptr[1:][x], BUCKETS)
+        p0, p1 = np.packbits(counts & 1, axis=1).view(np.int64).T
+        known, d, r, number = places(doc, null, rk, ptr, line, first[own])
         raw = words.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(pack << 20 | own), pa.array([x.tobytes() for x in lh[own]], pa.binary()), pa.array(doc[own], pa.int64(), mask=null[own]), pa.array(rk[own]), pa.array(line[own]), pa.array(n, pa.int64()), *[pa.array(p) for p in parity], pa.array([x.tobytes() for x in counts], pa.binary()),
-                *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, place)], pa.array([raw[offs[k] : offs[k + 1]] for k in own.tolist()], pa.binary()),
-            ],
-            names=[x.strip().split(" ")[0] for x in CANDIDATE.split(",")],
+        yield rows_of(
+            {
+                "id": pa.array(pack << 28 | own), "doc": pa.array(d, mask=known == 0), "rk": pa.array(r), "line": pa.array(number.astype(np.int64)), "n": pa.array(np.diff(wptr)[own]), "p0": pa.array(p0), "p1": pa.array(p1),
+                "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "keys": lists(ends, key), "places": lists(ends, place), "words": pa.array([raw[offs[k] : offs[k + 1]] for k in own.tolist()], pa.binary()),
+            }
         )
 
-    return _packs.by_dest(packs.unionByName(replies.withColumn("kind", F.lit(2))), finish, CANDIDATE)
+    told = packs.unionByName(of_keys.withColumn("kind", F.lit(2))).unionByName(of_lines.withColumn("kind", F.lit(3)))
+    return _packs.by_dest(told, finish, SETTLED)
+
+
+def candidates(packs: DataFrame, **dealt: int) -> DataFrame:
+    """Lines (CANDIDATE) with a key that is not theirs alone, and those keys."""
+    return settled(packs, **dealt).where("id IS NOT NULL").drop("n_lines", "equal")
 
 
 class Groups:
@@ -315,18 +410,19 @@ class Groups:
         return (np.abs(more) <= bound) & ((pa_ < 0) | (pb < 0) | moved) & (odd <= 2 * bound)
 
     def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, its earliest likely row, whether there may be more) of rows that have one."""
-        found = np.full(len(self.key), -1)
+        """(row, likely row), by row, of the earliest NAMED ones; whether a row has more."""
+        out, had = [(np.zeros(0, np.int64),) * 2], np.zeros(len(self.key), np.int64)
         k, at = 0, np.flatnonzero(self.pos > 0)
         while len(at):
-            b = self.start[at] + k
-            ok = self.likely(at, b)
-            found[at[ok]] = b[ok]
+            a = at[self.likely(at, self.start[at] + k)]
+            had[a] += 1
+            a = a[had[a] <= NAMED]
+            out.append((a, self.start[a] + k))
             k += 1
-            at = at[~ok]
-            at = at[self.pos[at] > k]
-        a = np.flatnonzero(found >= 0)
-        return a, found[a], found[a] + 1 < a
+            at = at[(self.pos[at] > k) & (had[at] <= NAMED)]
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        by = np.argsort(a, kind="stable")
+        return a[by], b[by], had > NAMED
 
     def all(self, asked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, likely row), by row, of each asked row and all earlier ones of its key; the counts of their words allow the bound too."""
@@ -348,22 +444,38 @@ class Groups:
         return a[by], b[by]
 
 
+LIKELY = "a long, bs array<long>, key long, open boolean, n int, place int, p0 long, p1 long, pos int"
+
+
 def likely_pairs(keys: DataFrame, every: bool = False) -> DataFrame:
-    """a, b, key, open: lines and the earliest likely line of each of their keys; every: a, bs: all likely lines of those asked, a row a key."""
-    order = ["key", "doc", "rk", "line"]
+    """a, bs: lines and the likely lines of a key, a row a key (LIKELY).
+
+    The earliest NAMED ones; a line that has more is open, and then all lines of
+    the key have a row, with their places in it (pos).  every: all likely lines of
+    those asked, of the rows of such keys (a, bs only).
+    """
+    order = ["key", "pos"] if every else ["key", "doc", "rk", "line"]
     rows = keys.repartition("key").sortWithinPartitions(*order).select("key", "id", "n", "place", "p0", "p1", *(["asked", "counts"] if every else []))
 
     def pairs(t: pa.Table):
         col = lambda c: t.column(c).to_numpy()
         g = Groups(*[col(c) for c in ("key", "n", "place", "p0", "p1")])
         ids = col("id")
+        named = lambda a, b, own: pa.ListArray.from_arrays(pa.array(np.searchsorted(a, np.append(own, len(ids))).astype(np.int32)), pa.array(ids[b]))
         if every:
             a, b = g.all(col("asked"), np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS))
-            own, at = np.unique(a, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)).astype(np.int32)), pa.array(ids[b]))], names=["a", "bs"])
+            own = np.unique(a)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), named(a, b, own)], names=["a", "bs"])
             return
         a, b, more = g.first()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(g.key[a]), pa.array(more)], names=["a", "b", "key", "open"])
+        whole = np.zeros(len(ids), bool)
+        whole[g.start[more]] = True
+        whole = whole[g.start]
+        keep = whole.copy()
+        keep[a] = True
+        own = np.flatnonzero(keep)
+        of_key = [pa.array(c.astype(kind), mask=~whole[own]) for c, kind in ((g.n[own], np.int32), (g.place[own], np.int32), (col("p0")[own], np.int64), (col("p1")[own], np.int64), (g.pos[own], np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), named(a, b, own), pa.array(g.key[own]), pa.array(more[own]), *of_key], names=[x.split()[0] for x in LIKELY.split(", ")])
 
     def run(it):
         held, size = [], 0
@@ -382,13 +494,11 @@ def likely_pairs(keys: DataFrame, every: bool = False) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, bs array<long>" if every else "a long, b long, key long, open boolean")
+    return rows.mapInArrow(run, "a long, bs array<long>" if every else LIKELY)
 
 
 def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """id of the later line of each of the distinct pairs (a, b) within the bound."""
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = words.join(met, "id", "left_semi")
     side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
     p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a_words", "b_words")
 
@@ -405,22 +515,26 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def near_lines(cand: DataFrame) -> DataFrame:
     """id of the candidates that have an earlier line within the bound."""
-    words = cand.select("id", "words")
     keys = cand.select("id", "doc", "rk", F.col("line").cast("int").alias("line"), F.col("n").cast("int").alias("n"), "p0", "p1", F.explode(F.arrays_zip("keys", "places")).alias("k"))
     keys = keys.select(F.col("k.keys").alias("key"), F.col("k.places").cast("int").alias("place"), "id", "doc", "rk", "line", "n", "p0", "p1")
     # tables that are written have a known size, and Spark sends them to the other side if they are small
     first = _shared.store(likely_pairs(keys), "near-likely")
-    found = _shared.store(verified(_shared.store(first.select("a", "b").distinct(), "near-pairs"), words), "near-first")
+    # few candidates have a likely line; their words are looked up once.  These tables are dealt out at any size, so that
+    # disk grows with the input as it does on small ones
+    met = first.select(F.explode(F.concat(F.array("a"), "bs")).alias("id")).distinct()
+    words = _shared.store(cand.select("id", "counts", "words").join(met.hint("merge"), "id", "left_semi"), "near-words")
+    found = _shared.store(verified(_shared.store(first.where("size(bs) > 0").select("a", F.element_at("bs", 1).alias("b")).distinct(), "near-pairs").hint("merge"), words), "near-first")
     # lines whose earliest likely line is not near, but which had more to try, try all
-    left = _shared.store(first.where("open").join(found, F.col("a") == F.col("id"), "left_anti").select("key", F.col("a").alias("id")).distinct(), "near-open")
-    _shared.drop(first)
-    asked = left.withColumn("asked", F.lit(True))
-    again = keys.join(left.select("key").distinct(), "key", "left_semi").join(asked, ["key", "id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    # counts of words join what is left of the rows of keys, which are many
-    again = again.join(cand.select("id", "counts"), "id")
+    left = _shared.store(first.where("size(bs) > 1").select("a", "bs", "key", "open").join(found, F.col("a") == F.col("id"), "left_anti"), "near-open")
+    named = left.select("a", F.explode(F.slice("bs", 2, NAMED)).alias("b"))
+    asked = left.where("open").select("key", F.col("a").alias("id"), F.lit(True).alias("asked"))
+    # the rows of keys that name all their lines are few; the others are not dealt out again
+    again = first.where("pos IS NOT NULL").select("key", F.col("a").alias("id"), "n", "place", "p0", "p1", "pos")
+    again = again.join(asked.select("key").distinct(), "key", "left_semi").join(asked, ["key", "id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    again = again.join(words.select("id", "counts"), "id")
     # lines share many keys: one list of lines to try for each, however many keys name them
     each = likely_pairs(again, every=True).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-    rest = verified(_shared.store(each.select("a", F.explode("bs").alias("b")), "near-rest"), words)
+    rest = verified(_shared.store(each.select("a", F.explode("bs").alias("b")).unionByName(named).distinct(), "near-rest"), words)
     return _shared.store(found.unionByName(rest).distinct(), "near-lines")
 
 
@@ -433,31 +547,14 @@ def dropped_lines(docs: DataFrame, pack_bytes: int = 8 << 20, **dealt: int) -> D
     dealt: arguments of ``_packs.exchange``.
     """
     packs = line_packs(docs, pack_bytes)
-    cand = _shared.store(candidates(packs, **dealt), "line-candidates")
+    found = _shared.store(settled(packs, **dealt), "line-candidates")
+    _shared.drop(packs)
+    cand = found.where("id IS NOT NULL")
     near = near_lines(cand)
-
-    def places(it):
-        for b in it:
-            for body in b.column(3):
-                _, doc, null, rk, line, *_ = _packs.expand(body.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(rk), pa.array(line)], names=["doc", "rk", "line"])
-
-    # lines that are the first of their kind, by document, and those of them that are near an earlier one
-    first = packs.mapInArrow(places, "doc long, rk long, line long").groupBy("doc", "rk").agg(F.collect_list("line").alias("first"))
-    close = near.join(cand.select("id", "doc", "rk", "line"), "id").groupBy("doc", "rk").agg(F.array_sort(F.collect_list("line")).alias("near"))
-
-    def numbers(it):
-        for b, data, offs in _text.batches(it, "text"):
-            doc, number, _, _ = split_lines(data, offs)
-            ends = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(number, pa.int64()))], names=["doc", "rk", "lines"])
-
-    rows = _keyed(docs).mapInArrow(numbers, "doc long, rk long, lines array<long>")
-    for t in (first, close):
-        t = t.withColumnsRenamed({"doc": "d", "rk": "r"})
-        rows = rows.join(t, F.col("doc").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r")), "left").drop("d", "r")
-    none = F.array().cast("array<bigint>")
-    return rows.select("doc", "rk", F.size("lines").cast("long").alias("n_lines"), F.array_except("lines", F.coalesce("first", none)).alias("equal"), F.coalesce("near", none).alias("near"))
+    close = near.join(cand.select("id", "doc", "rk", "line"), "id").groupBy(F.col("doc").alias("d"), F.col("rk").alias("r")).agg(F.array_sort(F.collect_list("line")).alias("near"))
+    rows = found.where("id IS NULL").select("doc", "rk", "n_lines", "equal")
+    rows = rows.join(close, F.col("doc").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r")), "left")
+    return rows.select("doc", "rk", "n_lines", "equal", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
 
 
 def without_lines(docs: DataFrame, **options: int) -> DataFrame:

@@ -202,6 +202,65 @@ def test_line_dedup_in_hot_groups(spark):
     assert made[160] < 6 * made[40]
 
 
+def test_lines_within_the_bound_share_a_key():
+    """Edits spread evenly over a line, which leave the shortest runs, at lengths where grams and windows change."""
+    rng = np.random.default_rng(9)
+    for n in [*range(18, 44), *range(76, 96), 120, 205]:
+        for _ in range(6):
+            a = [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+            b, k = list(a), max(1, n // 10)
+            # an inserted word may raise the bound no more: the longer line is a
+            for at in np.linspace(0, n, k + 2).astype(int)[-2:0:-1]:
+                b[at : at + 1] = [] if rng.integers(2) else [f"x{rng.integers(1 << 40)}"]
+            rows = [" ".join(x).encode() for x in (a, b)]
+            _, _, row, _, key = line_dedup.line_keys(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+            assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), n
+
+
+def test_long_lines_that_share_five_words_are_no_candidates(spark):
+    rng = np.random.default_rng(4)
+    raw = []
+    for i in range(40):  # pairs of lines of 60 words with the same five words in a row
+        both = [f"both{i}.{k}" for k in range(5)]
+        for side in "ab":
+            x = [f"{side}{i}.{k}" for k in range(55)]
+            at = int(rng.integers(5, 50))
+            raw.append(" ".join([*x[:at], *both, *x[at:]]))
+    docs = spark.createDataFrame(list(enumerate(raw * 2)), "doc_id long, text string")  # copies in other packs are no other lines
+    assert line_dedup.candidates(line_dedup.line_packs(docs.repartition(5), pack_bytes=3000)).count() == 0
+    # with ten words in common each line is one
+    docs = spark.createDataFrame(list(enumerate(x + " " + " ".join(f"more{i // 2}.{k}" for k in range(10)) for i, x in enumerate(raw))), "doc_id long, text string")
+    assert line_dedup.candidates(line_dedup.line_packs(docs.repartition(5), pack_bytes=3000)).count() == 80
+
+
+def test_line_dedup_of_repeated_rows_in_several_packs(spark):
+    a, b = " ".join(WORDS[:9]), " ".join(WORDS[9:18])
+    near, text = a.rsplit(" ", 1)[0] + " X", a + "\n" + b
+    rows = [(5, text)] * 6 + [(7, b)] * 4 + [(3, near)] * 3 + [(None, "y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for dealt in ({}, {"most": 2, "bits": 1}):
+        got = Counter((r["doc"], r["n_lines"], tuple(r["equal"]), tuple(r["near"])) for r in line_dedup.dropped_lines(docs, pack_bytes=60, **dealt).collect())
+        # all rows of one kind alike: line 0 of 5 is near that of 3, line 1 is its own; that of 7 equals it
+        assert got == {(5, 2, (), (0,)): 6, (7, 1, (0,), ()): 4, (3, 1, (), ()): 3, (None, 1, (), ()): 2}
+
+
+def test_keys_with_more_likely_lines_than_are_named(spark):
+    """Rows of a key go on as a whole only if a line has more likely lines than a row names."""
+    from pyspark.sql import functions as F
+
+    def likely(g):
+        docs = spark.createDataFrame([(i, " ".join([*WORDS[:6], f"x{i}", *WORDS[7:12]])) for i in range(g)], "doc_id long, text string")
+        cand = line_dedup.candidates(line_dedup.line_packs(docs))
+        keys = cand.select("*", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("*", F.col("k.keys").alias("key"), F.col("k.places").alias("place"))
+        return line_dedup.likely_pairs(keys).collect()
+
+    few, many = likely(line_dedup.NAMED + 1), likely(30)
+    assert [len(r["bs"]) for r in sorted(few, key=lambda r: len(r["bs"]))] == list(range(1, line_dedup.NAMED + 1))
+    assert not any(r["open"] or r["pos"] is not None for r in few)
+    assert sorted(r["pos"] for r in many) == list(range(30))
+    assert [r["open"] for r in sorted(many, key=lambda r: r["pos"])] == [k > line_dedup.NAMED for k in range(30)]
+
+
 def test_word_counts_allow_what_edits_do():
     rng = np.random.default_rng(5)
     for n in (20, 90, 1500):
