@@ -21,6 +21,8 @@ U64 = np.uint64
 LANES = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
 #: Ranges of more bytes are digested one by one.
 LONG = 512
+#: Numbers worked on at a time, so that they stay in the processor's cache.
+BLOCK = 1 << 15
 #: Masks of the first 0 to 8 bytes of a little-endian word.
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -99,20 +101,25 @@ def _loader(data: np.ndarray) -> np.ndarray:
 def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int) -> list[np.ndarray]:
     size = end - start
     at = _loader(data)
-    # most ranges are words of eight bytes at most: the first step is made for all
-    w = at[start] & _MASK[np.minimum(size, 8)]
-    out = []
-    for k, lane in enumerate(LANES[:lanes]):
-        h = mix(size.astype(np.uint64) + lane)
-        out.append(np.where(size > 0, mix(h ^ (w if k == 0 else mix(w + lane))), h))
-    live = np.flatnonzero((size > 8) & (size <= LONG))
-    p, left = start[live] + 8, size[live] - 8
-    while len(live):
-        w = at[p] & _MASK[np.minimum(left, 8)]
-        for k, h in enumerate(out):
-            h[live] = mix(h[live] ^ (w if k == 0 else mix(w + LANES[k])))
-        go = left > 8
-        live, p, left = live[go], p[go] + 8, left[go] - 8
+    out = [np.empty(len(size), np.uint64) for _ in range(lanes)]
+    for i in range(0, len(size), BLOCK):
+        first, n = start[i : i + BLOCK], size[i : i + BLOCK]
+        # most ranges are words of eight bytes at most: the first step is made for all
+        w = at[first] & _MASK[np.minimum(n, 8)]
+        own = []
+        for k, lane in enumerate(LANES[:lanes]):
+            h = mix(n.astype(np.uint64) + lane)
+            own.append(np.where(n > 0, mix(h ^ (w if k == 0 else mix(w + lane))), h))
+        live = np.flatnonzero((n > 8) & (n <= LONG))
+        p, left = first[live] + 8, n[live] - 8
+        while len(live):
+            w = at[p] & _MASK[np.minimum(left, 8)]
+            for k, h in enumerate(own):
+                h[live] = mix(h[live] ^ (w if k == 0 else mix(w + LANES[k])))
+            go = left > 8
+            live, p, left = live[go], p[go] + 8, left[go] - 8
+        for k, h in enumerate(own):
+            out[k][i : i + BLOCK] = h
     for i in np.flatnonzero(size > LONG).tolist():
         d = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest(), np.uint64)
         for k, h in enumerate(out):
@@ -175,11 +182,14 @@ def combine(hashes: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, np.uint64)
-    for i in range(n):
-        out *= U64(0x9E3779B97F4A7C15)
-        out ^= out >> U64(29)
-        out += hashes[i : i + m]
-    return mix(out)
+    for j in range(0, m, BLOCK):
+        part = out[j : j + BLOCK]
+        for i in range(n):
+            part *= U64(0x9E3779B97F4A7C15)
+            part ^= part >> U64(29)
+            part += hashes[i + j : i + j + len(part)]
+        part[:] = mix(part)
+    return out
 
 
 def shingles(hashes: np.ndarray, ptr: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -202,6 +202,22 @@ def test_line_dedup_in_hot_groups(spark):
     assert made[160] < 6 * made[40]
 
 
+def test_hashes_do_not_depend_on_blocks():
+    from helixframe.llm import _text
+
+    rng = np.random.default_rng(6)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    size = rng.choice([0, 1, 8, 9, 40, 512, 513], 2 * _text.BLOCK + 7)
+    start = rng.integers(0, 4000, len(size))
+    whole = _text.range_digest(data, start, start + size)
+    grams = _text.combine(whole[0], 6)
+    assert len(grams) == len(size) - 5
+    for i in (0, _text.BLOCK - 3, 2 * _text.BLOCK - 3):
+        part = _text.range_digest(data, start[i : i + 9], (start + size)[i : i + 9])
+        assert all((x[i : i + 9] == y).all() for x, y in zip(whole, part, strict=True))
+        assert (grams[i : i + 4] == _text.combine(whole[0][i : i + 9], 6)).all()
+
+
 def test_lines_within_the_bound_share_a_key():
     """Edits spread evenly over a line, which leave the shortest runs, at lengths where grams and windows change."""
     rng = np.random.default_rng(9)
